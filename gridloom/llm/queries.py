@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import linededup
 from .common import table
 
 
@@ -21,8 +22,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back, with_probe
+
+    return read_back(format_conversations(with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_decontaminate, op6_bpe)
+    for f in (op2_decontaminate, op3_shards, op5_chat, op6_bpe, op7_linededup)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_linededup": linededup.ORACLE}
