@@ -28,6 +28,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .partenum import link_components
+
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back, with_probe
 
@@ -42,6 +48,6 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_decontaminate, op3_shards, op5_chat, op6_bpe, op7_linededup)
+    for f in (op2_decontaminate, op3_shards, op4_ngram_join, op5_chat, op6_bpe, op7_linededup)
 }
 ORACLE: dict[str, str] = {"op7_linededup": linededup.ORACLE}
