@@ -42,11 +42,12 @@ RATIO = 1.6
 SLACK = 0.15
 #: Bounded sample on which frequent features are found, and the share of its sets from which a feature is frequent.
 SAMPLE_SETS = 20_000
-FREQUENT = 0.001
+FREQUENT = 0.0002
 FLUSH = 1 << 20
 BUCKET_BYTES = 12 << 20
-#: Groups with more unconnected pairs than this together get another pivot round before all are compared.
-PIVOT_ROUNDS, MANY_PAIRS = 4, 200_000
+#: While the open groups have more pairs than this many for each member, another pivot round goes before the comparison of
+#: all that is unconnected, at most PIVOT_ROUNDS.
+PIVOT_ROUNDS, PAIRS_A_MEMBER = 4, 50
 _ABC = K.alphabet("space")
 _U = np.uint64
 
@@ -178,7 +179,7 @@ def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
                 f, c = np.unique(h[np.repeat(one, np.diff(o))], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c)], names=["feature", "n"])
 
-    least = max(8, math.ceil(FREQUENT * min(rows, SAMPLE_SETS)))
+    least = max(4, math.ceil(FREQUENT * min(rows, SAMPLE_SETS)))
     found = picked.mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # at most (features of the sample / least) rows
     return np.sort(np.array([r[0] for r in found.select("feature").collect()], np.int64).view(np.uint64))
@@ -363,15 +364,17 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
     links = cut(_verified(tested, texts, num, den))
     labels = components(links)
     for turn in range(PIVOT_ROUNDS + 1):
-        left = _unconnected(shared, stars, labels)
+        left = _unconnected(shared, stars, labels, texts)
         if left is None:
             break
         rows = F.count(F.lit(1))
-        total = left.groupBy("bucket", "sig").agg((rows * (rows - 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
-        last = total <= MANY_PAIRS or turn == PIVOT_ROUNDS
+        members, pairs = left.groupBy("bucket", "sig").agg(rows.alias("m"), (rows * (rows - 1) / 2).alias("n")).agg(F.sum("m"), F.sum("n")).first()
+        last = pairs <= PAIRS_A_MEMBER * members or turn == PIVOT_ROUNDS
         if last:
-            other = left.select("bucket", "sig", F.col("node").alias("b"), F.col("label").alias("_label"))
-            found = left.withColumnRenamed("node", "a").join(other, ["bucket", "sig"]).filter("label < _label")
+            x = left.select("bucket", "sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+            y = left.select("bucket", "sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+            fit = f"x.bucket = y.bucket AND x.sig = y.sig AND la < lb AND {den} * least(na, nb) >= {num} * greatest(na, nb)"
+            found = x.alias("x").join(y.alias("y"), F.expr(fit)).select("a", "b")
         else:
             pivot = left.groupBy("bucket", "sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "sig", F.lit(turn))).alias("p"))
             found = left.withColumnRenamed("node", "a").join(pivot, ["bucket", "sig"]).withColumn("b", F.col("p.node")).filter(F.col("label") != F.col("p.label"))
@@ -396,8 +399,8 @@ def _texts(rows: DataFrame, salt: int) -> DataFrame:
     return rows.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, text string")
 
 
-def _unconnected(shared: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """The members (``bucket, sig, node, label``) of groups that hold several components; None if there are none.
+def _unconnected(shared: DataFrame, stars: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame | None:
+    """The members (``bucket, sig, node, n, label``) of groups that hold several components; None if there are none.
 
     A group is connected if each member has its centre's label, so only groups with a member that hasn't are read."""
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"_{name}"))
@@ -407,6 +410,6 @@ def _unconnected(shared: DataFrame, stars: DataFrame, labels: DataFrame) -> Data
         return None
     groups = cut(shared.join(parted, ["node", "centre"], "left_semi").select("bucket", "sig").distinct())
     members = shared.join(groups, ["bucket", "sig"], "left_semi").select("bucket", "sig", "node").distinct()
-    return cut(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    return cut(members.join(sizes.select("node", "n"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
 

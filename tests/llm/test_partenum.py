@@ -64,7 +64,7 @@ def test_against_brute_force(spark):
 
 
 def test_pivots_and_small_flushes(spark, monkeypatch):
-    monkeypatch.setattr(E, "MANY_PAIRS", 0)
+    monkeypatch.setattr(E, "PAIRS_A_MEMBER", 0)
     monkeypatch.setattr(E, "FLUSH", 500)
     rows = list(enumerate(corpus(2, 60)))
     assert run(spark, rows) == brute(rows)
