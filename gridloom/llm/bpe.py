@@ -21,6 +21,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -327,8 +328,9 @@ def _decoded(table: dict[int, bytes], ids: list[int]) -> Iterator[str]:
     yield d.close()
 
 
-def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode each text and decode its ids in one pass; ids and decoded bytes come back as digests."""
+def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Encode each text and decode its ids in one pass; ids and decoded bytes come back as digests (``with_ids``: the ids
+    too)."""
     ranks, pat = _ranks_of(documents, path), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,15 +339,22 @@ def round_trip(documents: DataFrame, path: str | None = None, pattern: str | Non
         names = {i: str(i) for i in table}
         for batch in batches:
             for rows, _ in K.chunks(batch, "text"):
-                n, sha_ids, sha_text = [], [], []
+                n, sha_ids, sha_text, kept = [], [], [], []
                 for t in rows.column(1).to_pylist():
                     ids = enc.encode(t or "")
                     back = hashlib.sha256()
                     for part in _decoded(table, ids):
                         back.update(part.encode())
                     n.append(len(ids))
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
                     sha_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     sha_text.append(back.hexdigest())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
+                names_out = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    names_out.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names_out)
+
+    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -60,8 +60,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_decontaminate, op3_shards, op4_ngram_join, op5_chat, op6_bpe, op7_linededup, op8_quality)
+    for f in (op1_toxicity, op2_decontaminate, op3_shards, op4_ngram_join, op5_chat, op6_bpe, op7_linededup, op8_quality, op9_fingerprint, op10_html)
 }
 ORACLE: dict[str, str] = {"op7_linededup": linededup.ORACLE}

@@ -244,7 +244,7 @@ def score_rows(documents: DataFrame, model: Model, keep: list[str] = []) -> Data
         for batch in batches:
             for rows, texts in K.chunks(batch, "text"):
                 _, found = passages(texts, m)
-                evidence = np.array([sum(b for _, _, b in p) for p in found])
+                evidence = np.array([sum(b for _, _, b in p) for p in found], float)
                 score = 1 / (1 + np.exp(-np.clip(m.slope * np.log1p(evidence) + m.offset, -700, 700)))
                 if m.offset == -math.inf:
                     score = np.zeros(len(found))
@@ -258,6 +258,24 @@ def score_rows(documents: DataFrame, model: Model, keep: list[str] = []) -> Data
     return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, {kept + ', ' if kept else ''}score double, evidence double, passages {_SPANS}")
 
 
+def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, all columns, that score under ``threshold``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for rows, texts in K.chunks(batch, "text"):
+                if m.offset == -math.inf:
+                    yield rows
+                    continue
+                evidence = np.array([sum(b for _, _, b in p) for p in passages(texts, m)[1]], float)
+                score = 1 / (1 + np.exp(-np.clip(m.slope * np.log1p(evidence) + m.offset, -700, 700)))
+                yield rows.filter(pa.array(score < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def score_documents(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted, passages`` for each row of ``documents``."""
     scored = score_rows(documents, fit(documents, labels, rows))
