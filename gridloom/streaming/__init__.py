@@ -1,0 +1 @@
+"""Nothing here: the engine has no streaming operators. Time evolution is a batch recurrence (operators.graph)."""
