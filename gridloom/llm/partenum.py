@@ -16,10 +16,11 @@ empty parts (``poor``) sign both without and with those features, and sign empty
 features leave too many empty. A pair with a good set shares a signature of the first kind, a pair of poor sets one
 of the second. So no link is lost.
 
-Candidates and links. Equal sets collapse into classes first. Signatures travel packed by hash range. Among the sets
-that share a signature no pairs are listed: each is first compared with the group's smallest set, then, in groups
-whose members aren't connected yet, with another pivot, and only what is still unconnected in a group is
-compared across its components. Every candidate is verified exactly on whole texts.
+Candidates and links. Equal sets collapse into classes first. Signatures travel packed by hash range. A feature that no
+other candidate has can't be common, so the count of a candidate's other features bounds its intersections; sets that
+this rules out go, and so do pairs. Among the sets that share a signature no pairs are listed: each is first compared
+with the group's smallest set; what is still unconnected in a group is compared across its components (while that
+would be much, first with other pivots). Every candidate is verified exactly on whole texts.
 """
 
 from __future__ import annotations
@@ -290,6 +291,67 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "bucket int, sig bigint, node bigint, centre bigint")
 
 
+def _support(texts: DataFrame, buckets: int) -> DataFrame:
+    """``node, support``: how many features of each candidate set some other candidate has. Only those can be common with
+    a partner, so it bounds every intersection. (Equal low bits of different features may only raise it.)
+
+    Features of several sets of a task's flush are counted there and sent on once, as a witness without a set, so no
+    feature, however frequent, gathers in one range.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("ids", pa.binary())])
+    nobody = _U(0)
+
+    def flush(features: np.ndarray, nodes: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(features, kind="stable")
+        features, nodes = features[order], nodes[order]
+        heads = np.flatnonzero(np.diff(features, prepend=features[0] + _U(1)))
+        size = np.diff(np.append(heads, len(features)))
+        ids, n = np.unique(nodes[np.repeat(size > 1, size)], return_counts=True)
+        out = [{"bucket": -1 - number % buckets, "sigs": n.astype(np.int64).tobytes(), "nodes": ids.tobytes(), "ids": b""}] if len(ids) else []
+        f, d = features[heads], np.where(size > 1, nobody, nodes[heads])
+        top = _range_of(f, buckets)
+        at = 0
+        for end in np.append(np.flatnonzero(np.diff(top)) + 1, len(top)):
+            out.append(_pack(int(top[at]), f[at:end], d[at:end]))
+            at = end
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n, number = [], 0, TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            for rows, texts in K.chunks(batch, "text"):
+                h, o = sets_of(texts)
+                kept.append((h, np.repeat(rows.column(0).to_numpy().view(np.uint64), np.diff(o))))
+                n += len(h)
+                if n >= FLUSH:
+                    yield from flush(*(np.concatenate(x) for x in zip(*kept)), number)
+                    kept, n, number = [], 0, number + 1
+        if n:
+            yield from flush(*(np.concatenate(x) for x in zip(*kept)), number)
+
+    def count(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:
+            read = [(np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["sigs"], np.int64)) for r in group.to_pylist()]
+            ids, n = (np.concatenate(x) for x in zip(*read))
+        else:
+            low, nodes = (np.concatenate(x) for x in zip(*map(_unpack, group.to_pylist())))
+            order = np.argsort(low, kind="stable")
+            low, nodes = low[order], nodes[order]
+            heads = np.flatnonzero(np.diff(low, prepend=low[0] + _U(1)))
+            size = np.diff(np.append(heads, len(low)))
+            ids, n = np.unique(nodes[np.repeat(size > 1, size) & (nodes != nobody)], return_counts=True)
+        return pa.table({"node": pa.array(ids.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    packed = texts.select("node", "text").mapInArrow(send, _PACKED)
+    return packed.groupBy("bucket").applyInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("support"))
+
+
+def _fits(a: str, b: str, num: int, den: int) -> str:
+    """SQL condition: the sets may link, by their sizes and supports."""
+    common = f"least({a}.support, {b}.support)"
+    return f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {den + num} * {common} >= {num} * ({a}.n + {b}.n)"
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by exact counts on whole texts."""
 
@@ -310,12 +372,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
                 ok = pa.array(den * common >= num * union)
                 yield rows.select([0, 1]).filter(ok)
 
-    x = texts.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("text").alias("left"))
-    y = texts.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("text").alias("right"))
-    sizes = texts.select("node", "n")
-    fit = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
-    fit = fit.filter(den * F.least("_na", "_nb") >= num * F.greatest("_na", "_nb")).select("a", "b")
-    wide = fit.join(x.drop("_na"), "a").join(y.drop("_nb"), "b").select("a", "b", "left", "right")
+    x = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    y = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    wide = pairs.join(x, "a").join(y, "b").select("a", "b", "left", "right")
     return wide.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -359,28 +418,38 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
     wanted = wanted.join(nodes.select("node", "first", "n"), "node").withColumnRenamed("first", "doc_id")
     # an id that several rows have may have other texts too, so the set's id is checked again
     texts = store(_texts(docs.join(wanted, "doc_id"), salt).dropDuplicates(["node"]))
+    sizes = texts.select("node", "n").join(_support(texts, buckets), "node")
+    sizes = cut(sizes.filter(F.col("support") * den >= F.col("n") * num))  # the others can't link with any set
+
+    def may_link(pairs: DataFrame) -> DataFrame:
+        x, y = sizes.alias("x"), sizes.alias("y")
+        fit = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & F.expr(_fits("x", "y", num, den)))
+        return fit.select("a", "b")
 
-    tested = cut(_pairs(stars))
+    tested = cut(may_link(_pairs(stars)))
     links = cut(_verified(tested, texts, num, den))
     labels = components(links)
     for turn in range(PIVOT_ROUNDS + 1):
-        left = _unconnected(shared, stars, labels, texts)
-        if left is None:
-            break
+        left = _unconnected(shared, labels, sizes)
         rows = F.count(F.lit(1))
         members, pairs = left.groupBy("bucket", "sig").agg(rows.alias("m"), (rows * (rows - 1) / 2).alias("n")).agg(F.sum("m"), F.sum("n")).first()
+        if not members:
+            break
         last = pairs <= PAIRS_A_MEMBER * members or turn == PIVOT_ROUNDS
         if last:
-            x = left.select("bucket", "sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = left.select("bucket", "sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            fit = f"x.bucket = y.bucket AND x.sig = y.sig AND la < lb AND {den} * least(na, nb) >= {num} * greatest(na, nb)"
-            found = x.alias("x").join(y.alias("y"), F.expr(fit)).select("a", "b")
+            x, y = left.alias("x"), left.alias("y")
+            fit = "x.bucket = y.bucket AND x.sig = y.sig AND x.label < y.label AND " + _fits("x", "y", num, den)
+            found = x.join(y, F.expr(fit)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         else:
             pivot = left.groupBy("bucket", "sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "sig", F.lit(turn))).alias("p"))
             found = left.withColumnRenamed("node", "a").join(pivot, ["bucket", "sig"]).withColumn("b", F.col("p.node")).filter(F.col("label") != F.col("p.label"))
+            found = may_link(_pairs(found))
         fresh = cut(_pairs(found).join(tested, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(_verified(fresh, texts, num, den)))
-        labels = components(links)
+        if fresh.limit(1).count():
+            more = cut(_verified(fresh, texts, num, den))
+            if more.limit(1).count():
+                links = cut(links.unionByName(more))
+                labels = components(links)
         if last:
             break
         tested = cut(tested.unionByName(fresh))
@@ -399,17 +468,10 @@ def _texts(rows: DataFrame, salt: int) -> DataFrame:
     return rows.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, text string")
 
 
-def _unconnected(shared: DataFrame, stars: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame | None:
-    """The members (``bucket, sig, node, n, label``) of groups that hold several components; None if there are none.
-
-    A group is connected if each member has its centre's label, so only groups with a member that hasn't are read."""
-    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"_{name}"))
-    named = stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    parted = cut(named.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(F.col("a").alias("node"), F.col("b").alias("centre")))
-    if parted.limit(1).count() == 0:
-        return None
-    groups = cut(shared.join(parted, ["node", "centre"], "left_semi").select("bucket", "sig").distinct())
-    members = shared.join(groups, ["bucket", "sig"], "left_semi").select("bucket", "sig", "node").distinct()
-    return cut(members.join(sizes.select("node", "n"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-
-
+def _unconnected(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The members (``bucket, sig, node, n, support, label``) of groups in which sets that may link are in several
+    components."""
+    alive = cut(sizes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    members = shared.select("bucket", "sig", "node").join(alive, "node").distinct()
+    groups = members.groupBy("bucket", "sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket", "sig")
+    return cut(members.join(groups, ["bucket", "sig"]))
