@@ -46,9 +46,9 @@ SAMPLE_SETS = 20_000
 FREQUENT = 0.0002
 FLUSH = 1 << 20
 BUCKET_BYTES = 12 << 20
-#: While the open groups have more pairs than this many for each member, another pivot round goes before the comparison of
-#: all that is unconnected, at most PIVOT_ROUNDS.
-PIVOT_ROUNDS, PAIRS_A_MEMBER = 4, 50
+#: While the open groups have more unconnected pairs than this many for each member, another pivot round goes before the
+#: comparison of all that is unconnected, at most PIVOT_ROUNDS.
+PIVOT_ROUNDS, PAIRS_A_MEMBER = 4, 500
 _ABC = K.alphabet("space")
 _U = np.uint64
 
@@ -183,7 +183,7 @@ def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
     least = max(4, math.ceil(FREQUENT * min(rows, SAMPLE_SETS)))
     found = picked.mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # at most (features of the sample / least) rows
-    return np.sort(np.array([r[0] for r in found.select("feature").collect()], np.int64).view(np.uint64))
+    return np.sort(found.select("feature").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 _PACKED = "bucket int, sigs binary, nodes binary, ids binary"
@@ -340,10 +340,25 @@ def _support(texts: DataFrame, buckets: int) -> DataFrame:
             heads = np.flatnonzero(np.diff(low, prepend=low[0] + _U(1)))
             size = np.diff(np.append(heads, len(low)))
             ids, n = np.unique(nodes[np.repeat(size > 1, size) & (nodes != nobody)], return_counts=True)
-        return pa.table({"node": pa.array(ids.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+        if not len(ids):
+            return schema.empty_table()
+        order = np.argsort(ids)
+        ids, n = ids[order], n[order].astype(np.int64)
+        top, out, at = _range_of(ids, buckets), [], 0
+        for end in np.append(np.flatnonzero(np.diff(top)) + 1, len(top)):
+            out.append({"bucket": int(top[at]), "sigs": n[at:end].tobytes(), "nodes": ids[at:end].tobytes(), "ids": b""})
+            at = end
+        return pa.Table.from_pylist(out, schema)
+
+    def total(group: pa.Table) -> pa.Table:
+        read = [(np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["sigs"], np.int64)) for r in group.to_pylist()]
+        nodes, n = (np.concatenate(x) for x in zip(*read))
+        ids, back = np.unique(nodes, return_inverse=True)
+        return pa.table({"node": pa.array(ids.view(np.int64)), "support": pa.array(np.bincount(back, weights=n).astype(np.int64))})
 
     packed = texts.select("node", "text").mapInArrow(send, _PACKED)
-    return packed.groupBy("bucket").applyInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("support"))
+    counts = packed.groupBy("bucket").applyInArrow(count, _PACKED)  # again packed, now by ranges of sets
+    return counts.groupBy("bucket").applyInArrow(total, "node bigint, support bigint")
 
 
 def _fits(a: str, b: str, num: int, den: int) -> str:
@@ -431,8 +446,9 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
     labels = components(links)
     for turn in range(PIVOT_ROUNDS + 1):
         left = _unconnected(shared, labels, sizes)
-        rows = F.count(F.lit(1))
-        members, pairs = left.groupBy("bucket", "sig").agg(rows.alias("m"), (rows * (rows - 1) / 2).alias("n")).agg(F.sum("m"), F.sum("n")).first()
+        labelled = left.groupBy("bucket", "sig", "label").agg(F.count(F.lit(1)).alias("m"))
+        each = labelled.groupBy("bucket", "sig").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        members, pairs = each.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
         if not members:
             break
         last = pairs <= PAIRS_A_MEMBER * members or turn == PIVOT_ROUNDS
@@ -448,8 +464,7 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
         if fresh.limit(1).count():
             more = cut(_verified(fresh, texts, num, den))
             if more.limit(1).count():
-                links = cut(links.unionByName(more))
-                labels = components(links)
+                labels = _joined_labels(labels, more)
         if last:
             break
         tested = cut(tested.unionByName(fresh))
@@ -468,6 +483,15 @@ def _texts(rows: DataFrame, salt: int) -> DataFrame:
     return rows.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, text string")
 
 
+def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only the labels that the links connect are looked at again."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    raised = components(named).toDF("_old", "_new")
+    known = labels.unionByName(raised.join(labels, F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_old").alias("label")))
+    return cut(known.join(raised, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")))
+
+
 def _unconnected(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """The members (``bucket, sig, node, n, support, label``) of groups in which sets that may link are in several
     components."""
