@@ -453,9 +453,7 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
             break
         last = pairs <= PAIRS_A_MEMBER * members or turn == PIVOT_ROUNDS
         if last:
-            x, y = left.alias("x"), left.alias("y")
-            fit = "x.bucket = y.bucket AND x.sig = y.sig AND x.label < y.label AND " + _fits("x", "y", num, den)
-            found = x.join(y, F.expr(fit)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            found = _across(left, num, den)
         else:
             pivot = left.groupBy("bucket", "sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "sig", F.lit(turn))).alias("p"))
             found = left.withColumnRenamed("node", "a").join(pivot, ["bucket", "sig"]).withColumn("b", F.col("p.node")).filter(F.col("label") != F.col("p.label"))
@@ -483,6 +481,22 @@ def _texts(rows: DataFrame, salt: int) -> DataFrame:
     return rows.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, text string")
 
 
+def _across(left: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a group's members in different components that may link, a being the larger set.
+
+    a's support leaves it partners of certain sizes only, so it is listed in their size classes (steps of 5 %), and b must
+    be able to be the smaller one. Near copies that can't link thus don't meet, however many share a signature.
+    """
+    size_class = lambda n: F.floor(F.ln(n.cast("double")) / F.lit(math.log(1.05)))
+    n, support = F.col("n"), F.col("support")
+    least = F.ceil(n * num / den)
+    most = F.least(n, F.floor(support * (den + num) / num) - n)
+    x = left.filter(most >= least).withColumn("size_class", F.explode(F.sequence(size_class(least), size_class(most)))).alias("x")
+    y = left.filter(support * (den + num) >= 2 * num * n).withColumn("size_class", size_class(n)).alias("y")
+    fit = "x.bucket = y.bucket AND x.sig = y.sig AND x.size_class = y.size_class AND x.n >= y.n AND x.label <> y.label AND " + _fits("x", "y", num, den)
+    return x.join(y, F.expr(fit)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links: only the labels that the links connect are looked at again."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
