@@ -49,6 +49,8 @@ BUCKET_BYTES = 12 << 20
 #: While the open groups have more unconnected pairs than this many for each member, another pivot round goes before the
 #: comparison of all that is unconnected, at most PIVOT_ROUNDS.
 PIVOT_ROUNDS, PAIRS_A_MEMBER = 4, 500
+#: If that comparison would have more pairs than this many for each candidate set, one partner a component goes first.
+PAIRS_A_SET = 4
 _ABC = K.alphabet("space")
 _U = np.uint64
 
@@ -459,7 +461,13 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
             found = left.withColumnRenamed("node", "a").join(pivot, ["bucket", "sig"]).withColumn("b", F.col("p.node")).filter(F.col("label") != F.col("p.label"))
             found = may_link(_pairs(found))
         fresh = cut(_pairs(found).join(tested, ["a", "b"], "left_anti"))
-        if fresh.limit(1).count():
+        count = fresh.count()
+        if last and count > PAIRS_A_SET * sizes.count() and turn < PIVOT_ROUNDS:
+            # first one partner for each set and component: what links thereby need not be compared with the others
+            of_b = fresh.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b", "left")
+            one = of_b.groupBy("a", F.coalesce("_lb", "b").alias("_lb")).agg(F.min_by("b", F.xxhash64("a", "b", F.lit(turn))).alias("b"))
+            fresh, last = cut(one.select("a", "b")), False
+        if count:
             more = cut(_verified(fresh, texts, num, den))
             if more.limit(1).count():
                 labels = _joined_labels(labels, more)

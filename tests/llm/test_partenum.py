@@ -70,6 +70,12 @@ def test_pivots_and_small_flushes(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_partner_first(spark, monkeypatch):
+    monkeypatch.setattr(E, "PAIRS_A_SET", 0)
+    rows = list(enumerate(corpus(5, 60)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
