@@ -1,9 +1,10 @@
 """Main text of web pages by consensus of a host's pages.
 
 Every page is scanned into containers with generalised tag-class paths (digits dropped). A container's score is the
-length of the text in its blocks, without twice its link text, half passed on to the container around it. Each page votes
-for the path of its best container; votes are summed by host and path in Spark, and every page is read again from
-its host's winning path (from its own best container if it has none on that path).
+length of the text in its blocks, without twice its link text, half passed on to the container around it. The best
+container is widened to those around it while they hold more of the article (``_widened``). Each page votes for the path
+of its widened best container; votes are summed by host and path in Spark, and every page is read again, in page order,
+from all containers on its host's winning path, widened likewise (from its own best one if it has none on that path).
 
 Defined results: a null or empty page has the empty text; a null address counts as the host ''; repeated rows vote
 each; broken markup is read on as browsers do (unclosed paragraphs end at the next block, unclosed elements at the end);
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MAX_HOSTS = 50_000
+#: Siblings of other paths widen a container if they hold this share of its text; so does loose text of the body.
+BESIDE = 0.1
 #: A path keeps this many of the innermost containers, so deeply nested pages have short paths.
 DEPTH = 8
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|textarea|select|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
@@ -149,19 +152,58 @@ def scores(page: Page) -> list[float]:
     return total
 
 
+def _tag(path: str) -> str:
+    return path.rpartition(">")[2].partition(".")[0]
+
+
+def _widened(page: Page, i: int) -> int:
+    """The container that holds the article of which ``i`` is a part.
+
+    That is the outermost article element around it, then the container around as long as that holds text itself,
+    siblings on the same path, or siblings of other paths with a share of ``BESIDE``. The body counts only for loose text
+    of that share: what stands beside the article there is mostly not part of it.
+    """
+    n = len(page.paths)
+    own, whole = [0] * n, [0] * n
+    for b in page.blocks:
+        own[b.holder] += max(0, len(b.text) - 2 * b.linked)
+        whole[b.holder] += len(b.text) - 2 * b.linked
+    children: list[list[int]] = [[] for _ in range(n)]
+    for k in range(n - 1, 0, -1):
+        whole[page.parents[k]] += whole[k]
+        children[page.parents[k]].append(k)
+    k = i
+    while k > 0:
+        if _tag(page.paths[k]) == "article":
+            i = k
+        k = page.parents[k]
+    while (up := page.parents[i]) >= 0:
+        share = BESIDE * max(whole[i], 1)
+        if _tag(page.paths[up]) in ("body", "#"):
+            more = own[up] >= share
+        else:
+            others = [k for k in children[up] if k != i and whole[k] > 0]
+            more = own[up] > 0 or any(page.paths[k] == page.paths[i] for k in others) or sum(whole[k] for k in others) >= share
+        if not more:
+            break
+        i = up
+    return i
+
+
 def best(page: Page) -> int:
     total = scores(page)
-    return max(range(len(total)), key=lambda i: (total[i], -i))
+    return _widened(page, max(range(len(total)), key=lambda i: (total[i], -i)))
 
 
 def text_of(page: Page, path: str | None) -> str:
-    """Blocks inside the best container on the path; without one, inside the page's best container."""
+    """Blocks inside the containers on the path that aren't mostly links; without one, inside the page's best container."""
     total = scores(page)
     on_path = [i for i, p in enumerate(page.paths) if p == path]
-    chosen = max(on_path, key=lambda i: (total[i], -i)) if on_path else best(page)
+    top = max(on_path, key=lambda i: (total[i], -i)) if on_path else -1
+    chosen = {i for i in on_path if total[i] > 0} | {_widened(page, top) if on_path else best(page)}
     inside = [False] * len(page.paths)
     for i in range(len(page.paths)):
-        inside[i] = i == chosen or (page.parents[i] >= 0 and inside[page.parents[i]])
+        inside[i] = i in chosen or (page.parents[i] >= 0 and inside[page.parents[i]])
     return "\n\n".join(b.text for b in page.blocks if inside[b.holder])
 
 

@@ -48,3 +48,19 @@ def test_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(H, "MAX_HOSTS", 0)
     df = spark.createDataFrame([(1, "http://a/", PAGE % 1)], "page_id bigint, url string, html string")
     assert H.extract(df).first().text == WANT
+
+
+def test_sibling_containers_and_text_beside_them(spark):
+    part = lambda tag, word, n: f"<{tag}><p>" + f"{word} " * n + f"</p></{tag}>"
+    unequal = "<body><nav>menu</nav><article><p>" + "intro " * 50 + "</p>" + part("section", "long", 400) + part("section", "brief", 100) + "</article>"
+    five = "<body><article>" + "".join(part("section", w, 100) for w in ("one", "two", "three", "four", "five")) + "</article><footer>foot</footer>"
+    divs = "<body><div class='text'><h2>Title</h2>" + "".join(part("div", w, n) for w, n in (("first", 300), ("second", 20))) + "</div>"
+    split = "<body>" + part("div class='post'", "upper", 200) + "<nav>menu</nav>" + part("div class='post'", "lower", 30)
+    # most pages have one part, or unequal ones: the host's path must not cut the others
+    single = "<body><div class='text'>" + part("div", "only", 200) + "</div>"
+    rows = [(i, f"http://a/{i}", unequal) for i in range(5)] + [(5, "http://a/5", five)] + [(i, f"http://b/{i}", single) for i in range(10, 15)] + [(15, "http://b/15", divs), (16, "http://c/", split)]
+    got = {r.page_id: r.text.split() for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0] == ["intro"] * 50 + ["long"] * 400 + ["brief"] * 100
+    assert got[5] == [w for w in ("one", "two", "three", "four", "five") for _ in range(100)]
+    assert got[15] == ["Title"] + ["first"] * 300 + ["second"] * 20
+    assert got[16] == ["upper"] * 200 + ["lower"] * 30
