@@ -7,8 +7,9 @@ of its widened best container; votes are summed by host and path in Spark, and e
 from all containers on its host's winning path, widened likewise (from its own best one if it has none on that path).
 
 Defined results: a null or empty page has the empty text; a null address counts as the host ''; repeated rows vote
-each; broken markup is read on as browsers do (unclosed paragraphs end at the next block, unclosed elements at the end);
-an empty table gives an empty result; further columns are ignored.
+each; broken markup is read on as browsers do (unclosed paragraphs end at the next block, unclosed elements at the end;
+of an unclosed frame, object, drawing or formula only the tag goes); a form that holds most of a page's text is read, and a
+page of which classes and forms would leave nothing is read without regard to them; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +30,30 @@ MAX_HOSTS = 50_000
 BESIDE = 0.1
 #: A path keeps this many of the innermost containers, so deeply nested pages have short paths.
 DEPTH = 8
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|textarea|select|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|textarea|select|svg|math)\b[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose content is skipped up to the closing tag; those of FOREIGN may be closed by their own tag or lack a closing one.
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template iframe object textarea select svg math".split()}
+FOREIGN = frozenset("iframe object svg math".split())
+_CLASS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Elements that may hold the article.
 HOLDERS = frozenset("article main section div body td center".split())
 #: Elements that never belong to it.
-OUTSIDE = frozenset("head title nav header footer aside form button menu dialog audio video canvas map".split())
+OUTSIDE = frozenset("head title nav header footer aside button menu dialog audio video canvas map".split())
 #: Words of classes, ids and roles of such elements.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside "
     "comment comments respond disqus notice notices cookie cookies consent alert popup modal newsletter subscribe form search share sharing social related recommended widget widgets pagination pager toolbar".split()
 )
+#: Words that make a compound with one of OUTSIDE_WORDS (``site-header``), unlike others (``has-sidebar``, ``social-history``).
+COMPOUND_WORDS = frozenset(
+    "area bar block bottom box btn button buttons container content desktop fixed global group icon icons inline inner item items js left link links list local main mobile page "
+    "post posts primary right row secondary section sections signup site slot sticky sub thread top unit wrap wrapper zone".split()
+)
+#: Elements that no class, id or role puts outside.
+KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag ends, and those where the search stops.
 _ENDS = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "dt": {"dl"}, "dd": {"dl"}}
@@ -60,10 +71,16 @@ class Page(NamedTuple):
     blocks: list[Block]
 
 
-def _outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
-        return True
-    return any(w.lower() in OUTSIDE_WORDS for _, a, b, c in _CLASS.findall(attributes) for w in _WORDS.findall(a or b or c))
+def _named_outside(tag: str, attributes: str) -> bool:
+    """Whether a whole class, id or role is one of OUTSIDE_WORDS or a compound of them and COMPOUND_WORDS."""
+    if tag in KEPT:
+        return False
+    for _, a, b, c in _CLASS.findall(attributes):
+        for token in (a or b or c).split():
+            words = {w.lower() for w in _WORDS.findall(token)} - ({"form"} if tag == "form" else set())
+            if words & OUTSIDE_WORDS and words <= OUTSIDE_WORDS | COMPOUND_WORDS:
+                return True
+    return False
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -71,9 +88,14 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted({"".join(_WORDS.findall(c)).lower() for c in classes.split()} - {""})])
 
 
-def scan(source: str) -> Page:
+def scan(source: str, strict: bool = True) -> Page:
+    """Containers and blocks; not ``strict``: forms, classes, ids and roles put nothing outside."""
     paths, parents, blocks = ["#"], [-1], []
-    open_tags: list[tuple[str, int, bool, bool]] = []  # tag, container, outside, in a link
+    open_tags: list[tuple[str, int, bool, bool, int]] = []  # tag, container, outside, in a link, number of the form
+    forms: list[int] = []  # of each block
+    n_forms = 0
+    endless: set[str] = set()  # raw elements without a closing tag from here on
+    dropped = False
     raw: list[str] = []
     linked = 0
     at = 0
@@ -84,6 +106,7 @@ def scan(source: str) -> Page:
             text = " ".join("".join(raw).split())
             if text:
                 blocks.append(Block(open_tags[-1][1] if open_tags else 0, text, linked))
+                forms.append(open_tags[-1][4] if open_tags else 0)
             raw.clear()
         linked = 0
 
@@ -100,9 +123,20 @@ def scan(source: str) -> Page:
             end_block()
         del open_tags[i:]
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         say(source[at : m.start()])
         at = m.end()
+        if m[1]:
+            tag = m[1].lower()
+            if tag in FOREIGN and m[0].endswith("/>"):
+                continue
+            if end := None if tag in endless else _RAW_END[tag].search(source, at):
+                at = end.end()
+            elif tag in FOREIGN:
+                endless.add(tag)
+            else:
+                at = len(source)
+            continue
         tag = m[3]
         if tag is None:
             continue
@@ -130,15 +164,30 @@ def scan(source: str) -> Page:
                     close(i)
                     break
             end_block()
-        _, holder, outside, link = open_tags[-1] if open_tags else ("", 0, False, False)
-        outside = outside or _outside(tag, m[4])
+        _, holder, outside, link, form = open_tags[-1] if open_tags else ("", 0, False, False, 0)
+        if not outside:
+            named = strict and _named_outside(tag, m[4])
+            dropped = dropped or named
+            outside = named or tag in OUTSIDE
+        if tag == "form" and strict and not form:
+            n_forms += 1
+            form = n_forms
         if tag in HOLDERS and not outside:
             paths.append(">".join([*paths[holder].split(">")[1 - DEPTH :], _label(tag, m[4])]))
             parents.append(holder)
             holder = len(paths) - 1
-        open_tags.append((tag, holder, outside, link or tag == "a"))
+        open_tags.append((tag, holder, outside, link or tag == "a", form))
     say(source[at:])
     end_block()
+    if n_forms:
+        sizes = [0] * (n_forms + 1)
+        for b, f in zip(blocks, forms):
+            sizes[f] += len(b.text)
+        kept = [b for b, f in zip(blocks, forms) if not f or 2 * sizes[f] > sum(sizes)]
+        dropped = dropped or len(kept) < len(blocks)
+        blocks = kept
+    if dropped and not blocks:
+        return scan(source, strict=False)
     return Page(paths, parents, blocks)
 
 

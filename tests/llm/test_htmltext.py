@@ -64,3 +64,23 @@ def test_sibling_containers_and_text_beside_them(spark):
     assert got[5] == [w for w in ("one", "two", "three", "four", "five") for _ in range(100)]
     assert got[15] == ["Title"] + ["first"] * 300 + ["second"] * 20
     assert got[16] == ["upper"] * 200 + ["lower"] * 30
+
+
+def test_names_and_forms_that_hold_the_text():
+    read = lambda source: H.text_of(H.scan(source), None)
+    story, more = "story " * 60 + "end", "more " * 20 + "end"
+    for opened in (
+        "<body class='has-sidebar'>", "<body class='search'><main class='no-sidebar'>", "<div class='content-with-menu'>", "<article class='share-enabled'>", "<article class='social'>",
+        "<form id='form1' method=post>", "<body><form class='page'><div>", "<div class='form-wrapper'>", "<div data-role='banner'>",
+    ):
+        assert read(opened + f"<p>{story}</p>") == story, opened
+    for name in ("social-history", "forms-of-government", "related-work"):
+        assert read(f"<article><p>{story}</p><section id='{name}'><h2 id='{name}'>Head</h2><p>{more}</p></section></article>") == f"{story}\n\nHead\n\n{more}"
+    assert read(f"<article><h2 class='header' id='search'>Head</h2><p>{story}</p></article>") == f"Head\n\n{story}"
+    for tag in ("svg", "math", "object", "iframe"):
+        assert read(f"<p>{more}<{tag} a='b'/></p><p>{story}</p><{tag}>x</{tag}>") == f"{more}\n\n{story}"
+        assert read(f"<p>{more}</p><{tag} a='b'><p>{story}</p>") == f"{more}\n\n{story}"
+    for name in ("ad-box", "site-header", "main-nav", "sidebar left", "cookie-notice", "post_comments", "share-buttons"):
+        assert read(f"<p>{story}</p><div class='{name}'>junk</div>") == story, name
+    assert read(f"<p>{story}</p><form>Name <input></form><form class='search-form'>Find</form>") == story
+    assert read("<nav>menu</nav>") == ""
