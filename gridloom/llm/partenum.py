@@ -151,19 +151,20 @@ class Signer:
         return (K.mix(content + K.mix(where)), s[heads]), np.bincount(s[heads], minlength=len(n))
 
 
-def _documents(documents: DataFrame, key: str, text: str) -> DataFrame:
-    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+def _documents(documents: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *also)
 
 
-def _set_table(docs: DataFrame, salt: int) -> DataFrame:
+def _set_table(docs: DataFrame, salt: int, also: tuple[str, ...] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in K.chunks(batch, "text"):
                 h, o = sets_of(texts)
                 a, b = set_ids(h, o, salt)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(o)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n", "node", "check"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(o)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *[rows.column(c) for c in also]], names=["doc_id", "n", "node", "check", *also])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join(["doc_id bigint, n bigint, node bigint, check bigint", *[f"{c} {kinds[c]}" for c in also]]))
 
 
 def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
@@ -399,16 +400,20 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_components(documents: DataFrame, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link_components(documents: DataFrame, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the set's size and the smallest id that links reach.
 
+    With names in ``also``, those columns too, and ``label``: a number of the component that no other has, even if rows of
+    both share their smallest id (null if the row is alone by definition).
+
     Defined results: null, empty and word-less texts have no set and are alone; repeated ids and rows are linked as
     their texts are; a row without an id is counted but linked with nothing; an empty table gives an empty result;
     further columns are ignored.
     """
     docs = _documents(documents, key, text)
+    told = _documents(documents, key, text, also)
     for salt in range(8):
-        sets = store(_set_table(docs, salt))
+        sets = store(_set_table(told, salt, also))
         named = sets.filter("n > 0 AND doc_id IS NOT NULL")
         nodes = store(named.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("doc_id").alias("first"), F.min("n").alias("n")))
         if nodes.filter("lo <> hi").limit(1).count() == 0:
@@ -416,10 +421,11 @@ def link_components(documents: DataFrame, num: int = 80, den: int = 100, key: st
     labels = _labels(docs.filter("doc_id IS NOT NULL"), sets, nodes, salt, num, den)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = named.join(smallest, "label").select("node", "component_id")
+    of_node = named.join(smallest, "label").select("node", "component_id", *["label"] * bool(also))
     joined = sets.join(of_node, "node", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    further = [*also, F.when(~alone, F.col("label")).alias("label")] if also else []
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *further)
 
 
 def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num: int, den: int) -> DataFrame:

@@ -35,3 +35,17 @@ def test_stages_keep_the_columns(spark, sf):
             assert data.columns == docs.columns
             data = spark.createDataFrame(data.collect(), docs.schema)
         assert C.tokens(spark, data, sf).count() == data.count()
+
+
+def test_rows_that_share_an_id(spark, sf):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    rows = [(7, long("x"), "en"), (7, long("y"), "en"), (7, long("y"), "de"), (3, long("z"), "en"), (7, long("z"), "en")]
+    rows += [(7, "", "en"), (7, None, "en"), (7, "", "en"), (8, long("x") + " more", "en"), (9, item, "en"), (9, long("v"), "en"), (None, long("u"), "en"), (None, item, "en")]
+    docs = spark.createDataFrame([(d, t, lang, "s", 1) for d, t, lang in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    known = lambda df: sorted(((r.doc_id, r.text, r.lang) for r in df.collect()), key=str)
+    want = [(7, long("x"), "en"), (7, long("y"), "de"), (3, long("z"), "en"), (7, "", "en"), (7, None, "en"), (9, item, "en"), (9, long("v"), "en"), (None, long("u"), "en"), (None, item, "en")]
+    joined = C.ngram_join(spark, docs, sf)
+    assert known(joined) == sorted(want, key=str)
+    joined = spark.createDataFrame(joined.collect(), docs.schema)
+    assert known(C.decontamination(spark, joined, sf)) == sorted([r for r in want if r[1] != item], key=str)
