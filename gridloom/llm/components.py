@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "left", ways: int = 16) -> DataFrame:
+    """Join on ``key`` where many rows of ``left`` may share one and ``right`` has one row for each: the left rows are dealt by
+    ``by`` to copies of it."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(ways)))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(ways)])))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to ``node, label``: the smallest node that links reach, for every node of a link.
 
     Each round a node takes the smallest label among itself and its neighbours, then the label of its label; the
-    number of rounds grows with the logarithm of the longest path. Aggregations are summed before shuffles, and the
-    joins' hot hubs are split by the adaptive skew join, so a hub with very many neighbours is no bottleneck.
+    number of rounds grows with the logarithm of the longest path. Aggregations are summed before shuffles, the joins'
+    hot hubs are split by the adaptive skew join and the lookup of a large component's label is salted.
     """
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
@@ -23,8 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         taken = labels.join(near, "node").select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_old"))
         if turn > 2:  # most groups are near stars and done by now
-            up = taken.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-            taken = taken.join(up, "label", "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "_old")
+            up = taken.filter("node <> label").select(F.col("node").alias("label"), F.col("label").alias("_up"))
+            taken = salted(taken, up, "label", "node").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "_old")
         jumped = cut(taken)
         moved = jumped.filter(F.col("label") != F.col("_old")).limit(1).count()
         labels = jumped.select("node", "label")

@@ -5,22 +5,25 @@ their Jaccard similarity is at least ``num/den``.
 
 Signatures. Sizes fall into bands. A pair belongs to the band of its smaller set, so a set signs for its own band
 and for the band below if partners can be there. Linked sets of a band differ in at most k features. The feature domain
-is partitioned into n = k + 1 + slack parts; the subsets of parts that are enumerated are the single parts (first
-level of PartEnum with no difference left inside a part). Linked sets agree on at least slack + 1 parts, so they
-share the signature (band, part, features there) of a non-empty part as long as one of them has at most ``slack`` empty
-parts.
+is partitioned twice: into blocks, and each block into N2 parts. With at most k differences, at most k // (K2 + 1) blocks
+hold more than K2, so with k // (K2 + 1) + 1 + slack blocks there are slack + 1 that hold at most K2 = 1. For each block
+all subsets of N2 - K2 parts are enumerated; a signature is (band, block, subset, features there). In each of
+those slack + 1 blocks the sets agree on a whole subset. A block is safe for a set if none of its subsets is empty there, so a
+pair shares a signature as long as one of the two has at most ``slack`` unsafe blocks. Where k is small (short texts), blocks have one
+part only and none of it is left out (K2 = 0).
 
 Frequent features (found on a bounded sample; any choice is safe) are left out of the domain first, since leaving out
 features never adds a difference; thus passages that many texts share make no large groups. Sets that then have too many
-empty parts (``poor``) sign both without and with those features, and sign empty parts too if even all their
-features leave too many empty. A pair with a good set shares a signature of the first kind, a pair of poor sets one
+unsafe blocks (``poor``) sign both without and with those features, and sign empty subsets too if even all their
+features leave too many unsafe. A pair with a good set shares a signature of the first kind, a pair of poor sets one
 of the second. So no link is lost.
 
-Candidates and links. Equal sets collapse into classes first. Signatures travel packed by hash range. A feature that no
-other candidate has can't be common, so the count of a candidate's other features bounds its intersections; sets that
-this rules out go, and so do pairs. Among the sets that share a signature no pairs are listed: each is first compared
-with the group's smallest set; what is still unconnected in a group is compared across its components (while that
-would be much, first with other pivots). Every candidate is verified exactly on whole texts.
+Links. Equal sets collapse into classes first. Signatures travel packed by hash range. Among the sets that share a
+signature no pairs are listed. Each set is compared with the centre of each of its groups: that member which shares most signatures
+with others, so the least edited copy. What then is unconnected in a group is bounded: a feature that only one component
+has can't be common to two, so sets of which less than ``num/den`` is found in other components have no further link. The few
+that are left meet in clusters of components, in blocks of bounded size, where counts are kept in matrices and only a forest
+of links comes out. Every link is verified exactly on whole texts.
 """
 
 from __future__ import annotations
@@ -36,27 +39,28 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import cut, drop_stored, store
-from .components import components
+from .components import components, salted
 
 SHINGLE = 5
-RATIO = 1.6
-SLACK = 0.15
+RATIO = 1.3
+SLACK = 0.25
+#: Parts of a block, and how many of them a signature leaves out, in bands where sets may differ in at least DEEP features.
+N2, K2, DEEP = 3, 1, 16
 #: Bounded sample on which frequent features are found, and the share of its sets from which a feature is frequent.
 SAMPLE_SETS = 20_000
 FREQUENT = 0.0002
 FLUSH = 1 << 20
 BUCKET_BYTES = 12 << 20
-#: While the open groups have more unconnected pairs than this many for each member, another pivot round goes before the
-#: comparison of all that is unconnected, at most PIVOT_ROUNDS.
-PIVOT_ROUNDS, PAIRS_A_MEMBER = 4, 500
-#: If that comparison would have more pairs than this many for each candidate set, one partner a component goes first.
-PAIRS_A_SET = 4
+#: Features of the sets that one task compares at once, and cells of its matrix of counts.
+BLOCK_FEATURES = 1 << 20
+CELLS = 1 << 22
 _ABC = K.alphabet("space")
 _U = np.uint64
 
 
-def bands(num: int, den: int, largest: int) -> list[tuple[int, int, int, int]]:
-    """(smallest size, largest size, n parts, slack) of each band; sizes below the first link only with equal sets."""
+def bands(num: int, den: int, largest: int) -> list[tuple[int, int, int, int, bool]]:
+    """(smallest size, largest size, blocks, slack, whether blocks have parts) of each band; sizes below the first link
+    only with equal sets."""
     low = 1
     while low * den < num * (low + 1):  # smaller sets link with equal sets only
         low += 1
@@ -65,8 +69,10 @@ def bands(num: int, den: int, largest: int) -> list[tuple[int, int, int, int]]:
         high = max(low, math.floor(low * RATIO))
         total = high + (high * den) // num
         k = total * (den - num) // (den + num)
-        slack = max(2, math.ceil(SLACK * k))
-        out.append((low, high, k + 1 + slack, slack))
+        deep = k >= DEEP
+        full = k // (K2 + 1) if deep else k  # at most so many blocks hold more differences than a subset leaves out
+        slack = max(2, math.ceil(SLACK * full)) if deep else max(2, math.ceil(0.15 * k))
+        out.append((low, high, full + 1 + slack, slack, deep))
         low = high + 1
     return out
 
@@ -94,14 +100,12 @@ def set_ids(hashes: np.ndarray, offsets: np.ndarray, salt: int) -> tuple[np.ndar
 class Signer:
     def __init__(self, num: int, den: int, frequent: np.ndarray):
         self.num, self.den, self.frequent = num, den, frequent
-        self.table: list[tuple[int, int, int, int]] = []
+        self.table: list[tuple[int, int, int, int, bool]] = []
 
     def _bands(self, largest: int) -> None:
         if not self.table or self.table[-1][1] < largest:
             self.table = bands(self.num, self.den, max(largest, 1 << 16))
-            self.lows = np.array([b[0] for b in self.table])
-            self.parts = np.array([b[2] for b in self.table])
-            self.slacks = np.array([b[3] for b in self.table])
+            self.lows, _, self.blocks, self.slacks, self.deep = (np.array(x) for x in zip(*self.table))
 
     def sign(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures and the set of each."""
@@ -119,36 +123,60 @@ class Signer:
         below = np.where((own > 0) & (least < self.lows[np.maximum(own, 0)]), own - 1, -1)
         sigs, sets = [], []
         for band in (own, below):
-            n, slack = self.parts[np.maximum(band, 0)], self.slacks[np.maximum(band, 0)]
+            slack = self.slacks[np.maximum(band, 0)]
             active = band >= 0
-            got, empty = self._parts(hashes, of, rare & active[of], band, n, 1)
-            sigs.append(got[0])
-            sets.append(got[1])
-            poor = active & (n - empty > slack)
+            got, unsafe = self._subsets(hashes, of, rare & active[of], band, 1)
+            sigs += got[0]
+            sets += got[1]
+            poor = active & (unsafe > slack)
             if poor.any():
-                got, empty = self._parts(hashes, of, poor[of], band, n, 2)
-                sigs.append(got[0])
-                sets.append(got[1])
-                for s in np.flatnonzero(poor & (n - empty > slack)):
-                    filled = np.unique(((hashes[offsets[s] : offsets[s + 1]] >> _U(32)) * _U(n[s])) >> _U(32))
-                    gaps = np.setdiff1d(np.arange(n[s]), filled.astype(np.int64))
-                    sigs.append(K.mix(K.mix(gaps.astype(np.uint64) + _U(int(band[s]) << 32)) + _U(3)))
+                got, unsafe = self._subsets(hashes, of, poor[of], band, 2)
+                sigs += got[0]
+                sets += got[1]
+                for s in np.flatnonzero(poor & (unsafe > slack)):
+                    gaps = self._gaps(hashes[offsets[s] : offsets[s + 1]], int(band[s]))
+                    sigs.append(K.mix(K.mix(gaps + _U(int(band[s]) << 32)) + _U(3)))
                     sets.append(np.full(len(gaps), s))
         return np.concatenate(sigs), np.concatenate(sets)
 
-    @staticmethod
-    def _parts(hashes, of, keep, band, n, kind):
-        """Signatures of the non-empty parts; how many each set has."""
+    def _subsets(self, hashes, of, keep, band, kind):
+        """Signatures of the non-empty subsets (lists of arrays) and their sets; how many unsafe blocks each set has."""
         h, s = hashes[keep], of[keep]
+        blocks = self.blocks[np.maximum(band, 0)]
         if not len(h):
-            return (np.empty(0, np.uint64), np.empty(0, np.int64)), np.zeros(len(n), np.int64)
-        part = ((h >> _U(32)) * n[s].astype(np.uint64)) >> _U(32)  # rises with the hash, so equal parts are neighbours
+            return ([np.empty(0, np.uint64)], [np.empty(0, np.int64)]), blocks
+        block = ((h >> _U(32)) * blocks[s].astype(np.uint64)) >> _U(32)  # rises with the hash, so a block's features are neighbours
         new = np.ones(len(h), bool)
-        new[1:] = (s[1:] != s[:-1]) | (part[1:] != part[:-1])
+        new[1:] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
         heads = np.flatnonzero(new)
-        content = np.add.reduceat(K.mix(h), heads)
-        where = K.mix(part[heads] + (band[s[heads]].astype(np.uint64) << _U(32))) + _U(kind)
-        return (K.mix(content + K.mix(where)), s[heads]), np.bincount(s[heads], minlength=len(n))
+        at, size, value = s[heads], np.diff(np.append(heads, len(h))), K.mix(h)
+        whole = np.add.reduceat(value, heads)
+        where = K.mix(block[heads] + (band[at].astype(np.uint64) << _U(32))) + _U(kind)
+        deep = self.deep[band[at]]
+        sigs, sets = [K.mix(whole + K.mix(where))[~deep]], [at[~deep]]
+        filled = np.zeros(len(heads), np.int64)
+        if deep.any():
+            part = ((h & _U(0xFFFFFFFF)) * _U(N2)) >> _U(32)
+            for left_out in range(N2):
+                inside = part == left_out
+                n = np.add.reduceat(inside.astype(np.int64), heads)
+                filled += n > 0
+                rest = whole - np.add.reduceat(np.where(inside, value, _U(0)), heads)
+                ok = deep & (size > n)
+                sigs.append(K.mix(rest + K.mix(where + _U((left_out + 1) << 40)))[ok])
+                sets.append(at[ok])
+        safe = ~deep | (filled > K2)
+        return (sigs, sets), blocks - np.bincount(at[safe], minlength=len(blocks))
+
+    def _gaps(self, h: np.ndarray, band: int) -> np.ndarray:
+        """The set's empty subsets, each a number."""
+        n = int(self.blocks[band])
+        block = (((h >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
+        if not self.deep[band]:
+            return np.setdiff1d(np.arange(n), block).astype(np.uint64)
+        part = (((h & _U(0xFFFFFFFF)) * _U(N2)) >> _U(32)).astype(np.int64)
+        held = np.bincount(block * N2 + part, minlength=n * N2).reshape(n, N2)
+        return np.flatnonzero(held.sum(1, keepdims=True) == held).astype(np.uint64) + _U(1 << 20)
 
 
 def _documents(documents: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
@@ -268,8 +296,7 @@ def _packed(docs: DataFrame, frequent: np.ndarray, buckets: int, salt: int, num:
 
 
 def _shared(packed: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, sig, node, centre``: who shares a signature with others, and the smallest in the group (of a flush:
-    the smallest of the flush, which in turn is a row of the signature's range)."""
+    """``gid, node``: who shares a signature with others, by a number of the signature."""
 
     def run(group: pa.Table) -> pa.Table:
         flushed = group.column("bucket")[0].as_py() < 0
@@ -285,119 +312,196 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
         heads = np.flatnonzero(new)
         size = np.diff(np.append(heads, len(sigs)))
         keep = np.repeat(nodes[heads] != nodes[heads + size - 1], size)
-        centres = np.repeat(nodes[heads], size)[keep]
         sigs, nodes = sigs[keep], nodes[keep]
         bucket = _range_of(sigs, buckets) if flushed else np.full(len(sigs), group.column("bucket")[0].as_py())
-        low = sigs & _U((1 << 40) - 1)
-        return pa.table({"bucket": pa.array(bucket.astype(np.int32)), "sig": pa.array(low.view(np.int64)), "node": pa.array(nodes.view(np.int64)), "centre": pa.array(centres.view(np.int64))})
+        gid = (bucket.astype(np.uint64) << _U(40)) | (sigs & _U((1 << 40) - 1))
+        return pa.table({"gid": pa.array(gid.view(np.int64)), "node": pa.array(nodes.view(np.int64))})
 
-    return packed.groupBy("bucket").applyInArrow(run, "bucket int, sig bigint, node bigint, centre bigint")
+    return packed.groupBy("bucket").applyInArrow(run, "gid bigint, node bigint")
 
 
-def _support(texts: DataFrame, buckets: int) -> DataFrame:
-    """``node, support``: how many features of each candidate set some other candidate has. Only those can be common with
-    a partner, so it bounds every intersection. (Equal low bits of different features may only raise it.)
+def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each row's text, and their offsets."""
+    features, sizes = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for batch in table.select(["text"]).to_batches():
+        for _, texts in K.chunks(batch, "text"):
+            h, o = sets_of(texts)
+            features.append(h)
+            sizes.append(np.diff(o))
+    return np.concatenate(features), np.cumsum(np.concatenate(sizes))
 
-    Features of several sets of a task's flush are counted there and sent on once, as a witness without a set, so no
-    feature, however frequent, gathers in one range.
-    """
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("ids", pa.binary())])
-    nobody = _U(0)
-
-    def flush(features: np.ndarray, nodes: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(features, kind="stable")
-        features, nodes = features[order], nodes[order]
-        heads = np.flatnonzero(np.diff(features, prepend=features[0] + _U(1)))
-        size = np.diff(np.append(heads, len(features)))
-        ids, n = np.unique(nodes[np.repeat(size > 1, size)], return_counts=True)
-        out = [{"bucket": -1 - number % buckets, "sigs": n.astype(np.int64).tobytes(), "nodes": ids.tobytes(), "ids": b""}] if len(ids) else []
-        f, d = features[heads], np.where(size > 1, nobody, nodes[heads])
-        top = _range_of(f, buckets)
-        at = 0
-        for end in np.append(np.flatnonzero(np.diff(top)) + 1, len(top)):
-            out.append(_pack(int(top[at]), f[at:end], d[at:end]))
-            at = end
-        yield pa.RecordBatch.from_pylist(out, schema)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, n, number = [], 0, TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            for rows, texts in K.chunks(batch, "text"):
-                h, o = sets_of(texts)
-                kept.append((h, np.repeat(rows.column(0).to_numpy().view(np.uint64), np.diff(o))))
-                n += len(h)
-                if n >= FLUSH:
-                    yield from flush(*(np.concatenate(x) for x in zip(*kept)), number)
-                    kept, n, number = [], 0, number + 1
-        if n:
-            yield from flush(*(np.concatenate(x) for x in zip(*kept)), number)
+def _support(members: DataFrame, features: int, buckets: int) -> DataFrame:
+    """``node, support`` of ``members`` (node, label, text): how many of a set's features sets of other labels have. Only
+    those can be common with a set that isn't linked yet. (Equal low bits of different features may only raise it.)
 
-    def count(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() < 0:
-            read = [(np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["sigs"], np.int64)) for r in group.to_pylist()]
-            ids, n = (np.concatenate(x) for x in zip(*read))
-        else:
-            low, nodes = (np.concatenate(x) for x in zip(*map(_unpack, group.to_pylist())))
-            order = np.argsort(low, kind="stable")
-            low, nodes = low[order], nodes[order]
-            heads = np.flatnonzero(np.diff(low, prepend=low[0] + _U(1)))
-            size = np.diff(np.append(heads, len(low)))
-            ids, n = np.unique(nodes[np.repeat(size > 1, size) & (nodes != nobody)], return_counts=True)
-        if not len(ids):
-            return schema.empty_table()
-        order = np.argsort(ids)
-        ids, n = ids[order], n[order].astype(np.int64)
-        top, out, at = _range_of(ids, buckets), [], 0
-        for end in np.append(np.flatnonzero(np.diff(top)) + 1, len(top)):
-            out.append({"bucket": int(top[at]), "sigs": n[at:end].tobytes(), "nodes": ids[at:end].tobytes(), "ids": b""})
+    Sets are dealt into parts of about BLOCK_FEATURES. A part tells the feature's range at most two labels that it saw
+    with a feature, and is told which features have several; so no feature, however frequent, gathers in one task.
+    """
+    parts = max(1, math.ceil(features / BLOCK_FEATURES))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+
+    def send(group: pa.Table) -> pa.Table:
+        h, o = _sets(group)
+        label = np.repeat(group.column("label").to_numpy().view(np.uint64), np.diff(o))
+        order = np.lexsort((label, h))
+        h, label = h[order], label[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (label[1:] != label[:-1])
+        h, label = h[new], label[new]
+        change = np.flatnonzero(h[1:] != h[:-1])
+        keep = np.zeros(len(h), bool)  # the smallest and the largest label of each feature
+        keep[:1] = keep[-1:] = keep[change] = keep[change + 1] = True
+        h, label = h[keep], label[keep]
+        top = _range_of(h, buckets)
+        out, at = [], 0
+        for end in np.append(np.flatnonzero(np.diff(top)) + 1, len(top)) if len(top) else []:
+            out.append({"part": group.column("part")[0].as_py()} | _pack(int(top[at]), h[at:end], label[at:end]))
             at = end
-        return pa.Table.from_pylist(out, schema)
-
-    def total(group: pa.Table) -> pa.Table:
-        read = [(np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["sigs"], np.int64)) for r in group.to_pylist()]
-        nodes, n = (np.concatenate(x) for x in zip(*read))
-        ids, back = np.unique(nodes, return_inverse=True)
-        return pa.table({"node": pa.array(ids.view(np.int64)), "support": pa.array(np.bincount(back, weights=n).astype(np.int64))})
-
-    packed = texts.select("node", "text").mapInArrow(send, _PACKED)
-    counts = packed.groupBy("bucket").applyInArrow(count, _PACKED)  # again packed, now by ranges of sets
-    return counts.groupBy("bucket").applyInArrow(total, "node bigint, support bigint")
-
-
-def _fits(a: str, b: str, num: int, den: int) -> str:
-    """SQL condition: the sets may link, by their sizes and supports."""
-    common = f"least({a}.support, {b}.support)"
-    return f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {den + num} * {common} >= {num} * ({a}.n + {b}.n)"
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact counts on whole texts."""
+        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("ids", pa.binary())]))
+
+    def find(group: pa.Table) -> pa.Table:
+        rows, bucket = group.to_pylist(), _U(group.column("bucket")[0].as_py())
+        low, label = (np.concatenate(x) for x in zip(*map(_unpack, rows)))
+        part = np.repeat([r["part"] for r in rows], [len(r["sigs"]) // 5 for r in rows])
+        order = np.lexsort((label, low))
+        low, label, part = low[order], label[order], part[order]
+        heads = np.flatnonzero(np.diff(low, prepend=low[0] + _U(1)))
+        size = np.diff(np.append(heads, len(low)))
+        several = np.repeat(label[heads] != label[heads + size - 1], size)
+        low, part = low[several], part[several]
+        order = np.argsort(part, kind="stable")
+        low, part = low[order], part[order]
+        out, at = [], 0
+        for end in np.append(np.flatnonzero(np.diff(part)) + 1, len(part)) if len(part) else []:
+            out.append({"part": int(part[at]), "features": np.unique(low[at:end] | (bucket << _U(40))).tobytes()})
+            at = end
+        return pa.Table.from_pylist(out, pa.schema([("part", pa.int64()), ("features", pa.binary())]))
+
+    def total(group: pa.Table, told: pa.Table) -> pa.Table:
+        h, o = _sets(group)
+        known = np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in told.column("features").to_pylist()]]))
+        mine = (_range_of(h, buckets).astype(np.uint64) << _U(40)) | (h & _U((1 << 40) - 1))
+        at = np.searchsorted(known, mine)
+        held = (known[np.minimum(at, len(known) - 1)] == mine) if len(known) else np.zeros(len(mine), bool)
+        of = np.repeat(np.arange(group.num_rows), np.diff(o))
+        return pa.table({"node": group.column("node"), "support": pa.array(np.bincount(of[held], minlength=group.num_rows).astype(np.int64))})
+
+    sent = dealt.select("part", "label", "text").groupBy("part").applyInArrow(send, "bucket int, part bigint, sigs binary, nodes binary, ids binary")
+    told = sent.groupBy("bucket").applyInArrow(find, "part bigint, features binary")
+    return dealt.select("part", "node", "text").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(total, "node bigint, support bigint")
+
+
+def _common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Counts of common features, of some left sets (from the number given) and all right ones at a time. Features of many
+    right sets are counted by a product of matrices, the others by their lists."""
+    (lh, lo), (rh, ro) = left, right
+    nl, nr = len(lo) - 1, len(ro) - 1
+    of = np.repeat(np.arange(nr), np.diff(ro))
+    order = np.argsort(rh, kind="stable")
+    known, first, many = np.unique(rh[order], return_index=True, return_counts=True)
+    of = of[order]
+    wide = many > max(32, nr // 16)
+    column = np.cumsum(wide) - 1
+    dense = np.zeros((nr, int(wide.sum())), np.float32)
+    among = np.repeat(wide, many)
+    dense[of[among], np.repeat(column, many)[among]] = 1
+    at = np.minimum(np.searchsorted(known, lh), len(known) - 1)
+    hit = known[at] == lh
+    work = np.concatenate([[0], np.cumsum(np.where(hit & ~wide[at], many[at], 0))])[lo]
+    begin = 0
+    while begin < nl:
+        end = min(begin + max(1, CELLS // nr), max(begin + 1, int(np.searchsorted(work, work[begin] + CELLS, side="right")) - 1), nl)
+        span = slice(lo[begin], lo[end])
+        x, row = at[span], np.repeat(np.arange(end - begin), np.diff(lo[begin : end + 1]))
+        x, row = x[hit[span]], row[hit[span]]
+        mine = np.zeros((end - begin, dense.shape[1]), np.float32)
+        mine[row[wide[x]], column[x[wide[x]]]] = 1
+        count = mine @ dense.T
+        x, row = x[~wide[x]], row[~wide[x]]
+        n = many[x]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[x], n)
+        cells = np.bincount(np.repeat(row, n) * nr + of[place], minlength=(end - begin) * nr)
+        yield begin, count.astype(np.int64) + cells.reshape(end - begin, nr)
+        begin = end
+
+
+def forest(h: np.ndarray, o: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the sets ``left`` and ``right`` (row numbers): enough to connect, with the labels as they are, all that
+    link, and no more."""
+    take = lambda rows: (h[np.concatenate([np.arange(o[r], o[r + 1]) for r in rows])], np.concatenate([[0], np.cumsum(np.diff(o)[rows])]))
+    _, code = np.unique(label, return_inverse=True)
+    up = np.arange(len(code))
+    size = np.diff(o)
+
+    def root(x: np.ndarray) -> np.ndarray:
+        while True:
+            y = up[x]
+            if (y == x).all():
+                return x
+            up[x] = up[y]
+            x = up[y]
+
+    a, b = [], []
+    for begin, common in _common(take(left), take(right)):
+        some = left[begin : begin + len(common)]
+        ok = (common > 0) & (den * common >= num * (size[some][:, None] + size[right][None] - common))
+        for i in np.flatnonzero(ok.any(1)):
+            js = right[ok[i]]
+            of, own = root(code[js]), root(code[some[i : i + 1]])[0]
+            others, at = np.unique(of, return_index=True)
+            at = at[others != own]
+            if len(at):
+                a.append(np.full(len(at), some[i]))
+                b.append(js[at])
+                up[np.append(others, own)] = min(others[0], own)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _compared(rows: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among ``rows`` (pack, key, side, node, label): in each key, sets of side 0 meet those of side 1, and
+    those of side 2 meet all. A pack of keys is one group of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, left in K.chunks(batch, "left"):
-                right = K.texts_of(rows.column(3))
-                h, o = sets_of(left)
-                g, p = sets_of(right)
-                n = len(left)
-                of = np.concatenate([np.repeat(np.arange(n), np.diff(o)), np.repeat(np.arange(n), np.diff(p))])
-                both = np.concatenate([h, g])
-                order = np.lexsort((both, of))
-                both, of = both[order], of[order]
-                same = (both[1:] == both[:-1]) & (of[1:] == of[:-1])
-                common = np.bincount(of[1:][same], minlength=n)
-                union = np.diff(o) + np.diff(p) - common
-                ok = pa.array(den * common >= num * union)
-                yield rows.select([0, 1]).filter(ok)
-
-    x = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    y = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    wide = pairs.join(x, "a").join(y, "b").select("a", "b", "left", "right")
-    return wide.mapInArrow(run, "a bigint, b bigint")
-
-
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def run(group: pa.Table) -> pa.Table:
+        h, o = _sets(group)
+        key, node, side = (group.column(c).to_numpy() for c in ("key", "node", "side"))
+        h = K.mix(h ^ np.repeat(key.view(np.uint64), np.diff(o)))  # sets of different keys have nothing in common
+        a, b = forest(h, o, np.flatnonzero(side != 1), np.flatnonzero(side != 0), group.column("label").to_numpy(), num, den)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    wide = rows.join(texts.select("node", "text"), "node").select("pack", "key", "side", "node", "label", "text")
+    return wide.groupBy("pack").applyInArrow(run, "a bigint, b bigint")
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Rows for _compared: each set ``a`` (of n features) with its centre ``c``."""
+    load = cut(pairs.groupBy("c").agg(F.sum("n").alias("load")))
+    packs = max(1, math.ceil((load.agg(F.sum("load")).first()[0] or 0) / BLOCK_FEATURES))
+    large = load.filter(F.col("load") > BLOCK_FEATURES).select("c", F.ceil(F.col("load") / BLOCK_FEATURES).alias("ways"))
+    dealt = pairs.join(large, "c", "left").withColumn("way", F.pmod(F.xxhash64("a"), F.coalesce("ways", F.lit(1))))
+    pack = F.when(F.col("ways").isNull(), F.pmod(F.xxhash64("c"), F.lit(packs))).otherwise(F.xxhash64("c", "way"))
+    dealt = dealt.select(pack.alias("pack"), F.col("c").alias("key"), "a")
+    member = dealt.select("pack", "key", F.lit(1).alias("side"), F.col("a").alias("node"), F.col("a").alias("label"))
+    centre = dealt.select("pack", "key").distinct().select("pack", "key", F.lit(0).alias("side"), F.col("key").alias("node"), F.col("key").alias("label"))
+    return member.unionByName(centre)
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows for _compared: all sets of a cluster of components (cluster, label, node, n), in blocks of bounded size. The sets
+    of the largest component needn't meet each other, so they meet the blocks of the others only."""
+    of_label = members.groupBy("cluster", "label").agg(F.sum("n").alias("load"))
+    of_cluster = cut(of_label.groupBy("cluster").agg(F.sum("load").alias("load"), F.max(F.struct("load", "label")).alias("main")).filter("load > main.load"))
+    packs = max(1, math.ceil((of_cluster.agg(F.sum(F.least("load", F.lit(BLOCK_FEATURES)))).first()[0] or 0) / BLOCK_FEATURES))
+    ways = lambda load: F.ceil(load / BLOCK_FEATURES).cast("int")
+    small = F.col("load") <= BLOCK_FEATURES
+    plan = of_cluster.select("cluster", small.alias("small"), F.col("main.label").alias("main"), F.when(small, 1).otherwise(ways(F.col("load") - F.col("main.load"))).alias("rest"), F.when(small, 0).otherwise(ways(F.col("main.load"))).alias("mains"))
+    known = members.join(plan, "cluster")
+    first = F.col("small") | (F.col("label") != F.col("main"))
+    own = F.when(first, F.pmod(F.xxhash64("node"), F.col("rest"))).otherwise(F.col("rest") + F.pmod(F.xxhash64("node"), F.greatest("mains", F.lit(1)))).cast("int")
+    known = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    key = F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))
+    return known.select(F.when(F.col("small"), F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(key).alias("pack"), key.alias("key"), side.alias("side"), "node", "label")
 
 
 def link_components(documents: DataFrame, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -419,9 +523,10 @@ def link_components(documents: DataFrame, num: int = 80, den: int = 100, key: st
         if nodes.filter("lo <> hi").limit(1).count() == 0:
             break  # else two different sets share a 64-bit id: take other ids
     labels = _labels(docs.filter("doc_id IS NOT NULL"), sets, nodes, salt, num, den)
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = named.join(smallest, "label").select("node", "component_id", *["label"] * bool(also))
+    linked = cut(labels.join(nodes.select("node", "first"), "node"))
+    smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = salted(linked.select("node", "label"), smallest, "label", "node")
+    of_node = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"), *[F.coalesce("label", "node").alias("label")] * bool(also))
     joined = sets.join(of_node, "node", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     further = [*also, F.when(~alone, F.col("label")).alias("label")] if also else []
@@ -436,50 +541,29 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
     frequent = _frequent(docs, stats["rows"])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(features * 0.5 * 10 / BUCKET_BYTES))
     shared = store(_shared(_packed(docs, frequent, buckets, salt, num, den), buckets))
-    stars = cut(shared.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
-    wanted = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = wanted.join(nodes.select("node", "first", "n"), "node").withColumnRenamed("first", "doc_id")
+    seen = cut(shared.groupBy("node").agg(F.count(F.lit(1)).alias("seen")).join(nodes.select("node", "first", "n"), "node"))
     # an id that several rows have may have other texts too, so the set's id is checked again
-    texts = store(_texts(docs.join(wanted, "doc_id"), salt).dropDuplicates(["node"]))
-    sizes = texts.select("node", "n").join(_support(texts, buckets), "node")
-    sizes = cut(sizes.filter(F.col("support") * den >= F.col("n") * num))  # the others can't link with any set
-
-    def may_link(pairs: DataFrame) -> DataFrame:
-        x, y = sizes.alias("x"), sizes.alias("y")
-        fit = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & F.expr(_fits("x", "y", num, den)))
-        return fit.select("a", "b")
-
-    tested = cut(may_link(_pairs(stars)))
-    links = cut(_verified(tested, texts, num, den))
-    labels = components(links)
-    for turn in range(PIVOT_ROUNDS + 1):
-        left = _unconnected(shared, labels, sizes)
-        labelled = left.groupBy("bucket", "sig", "label").agg(F.count(F.lit(1)).alias("m"))
-        each = labelled.groupBy("bucket", "sig").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        members, pairs = each.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
-        if not members:
-            break
-        last = pairs <= PAIRS_A_MEMBER * members or turn == PIVOT_ROUNDS
-        if last:
-            found = _across(left, num, den)
-        else:
-            pivot = left.groupBy("bucket", "sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "sig", F.lit(turn))).alias("p"))
-            found = left.withColumnRenamed("node", "a").join(pivot, ["bucket", "sig"]).withColumn("b", F.col("p.node")).filter(F.col("label") != F.col("p.label"))
-            found = may_link(_pairs(found))
-        fresh = cut(_pairs(found).join(tested, ["a", "b"], "left_anti"))
-        count = fresh.count()
-        if last and count > PAIRS_A_SET * sizes.count() and turn < PIVOT_ROUNDS:
-            # first one partner for each set and component: what links thereby need not be compared with the others
-            of_b = fresh.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b", "left")
-            one = of_b.groupBy("a", F.coalesce("_lb", "b").alias("_lb")).agg(F.min_by("b", F.xxhash64("a", "b", F.lit(turn))).alias("b"))
-            fresh, last = cut(one.select("a", "b")), False
-        if count:
-            more = cut(_verified(fresh, texts, num, den))
-            if more.limit(1).count():
-                labels = _joined_labels(labels, more)
-        if last:
-            break
-        tested = cut(tested.unionByName(fresh))
+    texts = store(_texts(docs.join(seen.select(F.col("first").alias("doc_id"), "node", "n"), "doc_id"), salt).dropDuplicates(["node"]))
+
+    member = shared.join(seen.select("node", "n", "seen"), "node")
+    centre = member.groupBy("gid").agg(F.max(F.struct("seen", "node", "n")).alias("c"))
+    near = (F.col("c.node") != F.col("node")) & (F.least("n", "c.n") * den >= F.greatest("n", "c.n") * num)
+    pairs = cut(member.join(centre, "gid").filter(near).select(F.col("node").alias("a"), F.col("c.node").alias("c"), "n").distinct())
+    labels = components(cut(_compared(_stars(pairs), texts, num, den)))
+
+    known = cut(seen.select("node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    open_ = _unconnected(shared, known).select("node", "label", "n").distinct()
+    rest = open_.join(texts.select("node", "text"), "node")
+    support = _support(rest, open_.agg(F.sum("n")).first()[0] or 0, buckets)
+    known = cut(open_.join(support, "node").filter(F.col("support") * den >= F.col("n") * num))
+    meet = _unconnected(shared, known)
+    clusters = components(meet.select(F.col("label").alias("a"), F.col("least").alias("b")))
+    members = salted(meet.select("node", "label", "n", "support").distinct(), clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label", "node", "inner")
+    least = members.groupBy("cluster").agg(F.min("n").alias("least"))
+    fit = F.col("support") * (den + num) >= (F.col("n") + F.col("least")) * num
+    more = cut(_compared(_blocks(cut(salted(members, least, "cluster", "node", "inner").filter(fit))), texts, num, den))
+    if more.limit(1).count():
+        labels = _joined_labels(labels, more)
     drop_stored(shared)
     drop_stored(texts)
     return labels
@@ -495,35 +579,19 @@ def _texts(rows: DataFrame, salt: int) -> DataFrame:
     return rows.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, text string")
 
 
-def _across(left: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a group's members in different components that may link, a being the larger set.
-
-    a's support leaves it partners of certain sizes only, so it is listed in their size classes (steps of 5 %), and b must
-    be able to be the smaller one. Near copies that can't link thus don't meet, however many share a signature.
-    """
-    size_class = lambda n: F.floor(F.ln(n.cast("double")) / F.lit(math.log(1.05)))
-    n, support = F.col("n"), F.col("support")
-    least = F.ceil(n * num / den)
-    most = F.least(n, F.floor(support * (den + num) / num) - n)
-    x = left.filter(most >= least).withColumn("size_class", F.explode(F.sequence(size_class(least), size_class(most)))).alias("x")
-    y = left.filter(support * (den + num) >= 2 * num * n).withColumn("size_class", size_class(n)).alias("y")
-    fit = "x.bucket = y.bucket AND x.sig = y.sig AND x.size_class = y.size_class AND x.n >= y.n AND x.label <> y.label AND " + _fits("x", "y", num, den)
-    return x.join(y, F.expr(fit)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
 def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links: only the labels that the links connect are looked at again."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
     named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     raised = components(named).toDF("_old", "_new")
     known = labels.unionByName(raised.join(labels, F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_old").alias("label")))
-    return cut(known.join(raised, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")))
+    changed = raised.filter("_old <> _new").withColumnRenamed("_old", "label")
+    return cut(salted(known, changed, "label", "node").select("node", F.coalesce("_new", "label").alias("label")))
 
 
-def _unconnected(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The members (``bucket, sig, node, n, support, label``) of groups in which sets that may link are in several
-    components."""
-    alive = cut(sizes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    members = shared.select("bucket", "sig", "node").join(alive, "node").distinct()
-    groups = members.groupBy("bucket", "sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("bucket", "sig")
-    return cut(members.join(groups, ["bucket", "sig"]))
+def _unconnected(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """The members of groups in which sets of ``known`` (node, label, ...) are in several components, and the group's
+    ``least`` label."""
+    members = shared.join(known, "node")
+    groups = members.groupBy("gid").agg(F.min("label").alias("least"), F.max("label").alias("_hi")).filter("least <> _hi").select("gid", "least")
+    return cut(members.join(groups, "gid"))

@@ -63,17 +63,50 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_pivots_and_small_flushes(spark, monkeypatch):
-    monkeypatch.setattr(E, "PAIRS_A_MEMBER", 0)
+def test_small_flushes_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK_FEATURES", 300)
     monkeypatch.setattr(E, "FLUSH", 500)
     rows = list(enumerate(corpus(2, 60)))
     assert run(spark, rows) == brute(rows)
 
 
-def test_one_partner_first(spark, monkeypatch):
-    monkeypatch.setattr(E, "PAIRS_A_SET", 0)
-    rows = list(enumerate(corpus(5, 60)))
-    assert run(spark, rows) == brute(rows)
+def test_group_of_copies_that_link_in_part(spark, monkeypatch):
+    """Copies of one text with up to nine edits: some link with the original, some with each other, some with none."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(10)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    assert 10 < len({c for *_, c in want}) < 140
+    assert run(spark, rows) == want
+    monkeypatch.setattr(E, "BLOCK_FEATURES", 2000)
+    assert run(spark, rows) == want
+
+
+def test_forest_against_all_pairs(monkeypatch):
+    rnd = np.random.default_rng(5)
+    for cells in (1 << 22, 60):
+        monkeypatch.setattr(E, "CELLS", cells)
+        sets = [np.unique(rnd.integers(0, 60, 40)).astype(np.uint64) for _ in range(12)]
+        sets += [np.unique(np.append(rnd.choice(s, len(s) - 3, replace=False), rnd.integers(60, 70, 2).astype(np.uint64))) for s in sets * 9]
+        h, o = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        label = rnd.integers(0, 60, len(sets))
+        left, right = np.arange(0, 90), np.arange(40, len(sets))
+        a, b = E.forest(h, o, left, right, label, 80, 100)
+
+        def parts(pairs):
+            up = list(label)
+            for i, j in pairs:
+                x, y = up[i], up[j]
+                up = [x if u == y else u for u in up]
+            return {frozenset(i for i in range(len(up)) if up[i] == u) for u in up}
+
+        linked = [(i, j) for i in left for j in right if 100 * len(x := set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))]
+        assert parts(zip(a, b)) == parts(linked) and len(a) < len(set(label)) < len(linked)
 
 
 def test_empty(spark):
@@ -101,4 +134,4 @@ def test_linked_sets_share_a_signature():
 
 def test_bands():
     table = E.bands(80, 100, 1000)
-    assert table[0][0] == 4 and all(a[1] + 1 == b[0] for a, b in zip(table, table[1:]))
+    assert table[0][0] == 4 and not table[0][4] and table[-1][4] and all(a[1] + 1 == b[0] for a, b in zip(table, table[1:]))
