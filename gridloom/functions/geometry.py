@@ -71,8 +71,8 @@ def segments_meet(s: Column, t: Column) -> Column:
     return cross | touch
 
 
-def inside(p: Column, geom: Column) -> Column:
-    """Whether a point is in the polygon, by the parity of crossings over all rings (holes turn it back)."""
+def inside(p: Column, edges: Column) -> Column:
+    """Whether a point is in the polygon of these segments, by the parity of crossings over all rings (holes turn it back)."""
 
     def crosses(s: Column) -> Column:
         a, b = s["a"], s["b"]
@@ -80,14 +80,29 @@ def inside(p: Column, geom: Column) -> Column:
         at = a["x"] + (p["y"] - a["y"]) * F.coalesce(F.try_divide(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0))
         return spans & (p["x"] < at)
 
-    return F.size(F.filter(segments(geom), crosses)) % 2 == 1
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def corners(geom: Column) -> Column:
+    """The first vertex of each ring."""
+    return F.transform(F.flatten(geom["parts"]), lambda r: r[0])
+
+
+def shape(geom: Column) -> Column:
+    """What ``apart`` reads of a geometry, to be made once for each row: its box, segments and ring corners."""
+    return F.struct(bbox(geom).alias("box"), segments(geom).alias("edges"), corners(geom).alias("corners"))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """No common point, of two shapes."""
+    edges = F.exists(a["edges"], lambda s: F.exists(b["edges"], lambda t: segments_meet(s, t)))
+    holds = F.exists(a["corners"], lambda p: inside(p, b["edges"])) | F.exists(b["corners"], lambda p: inside(p, a["edges"]))
+    return ~(boxes_meet(a["box"], b["box"]) & (edges | holds))
 
 
 def disjoint(a: Column, b: Column) -> Column:
     """No common point. With a missing geometry the answer is false, so a missing geometry neighbours everything."""
-    edges = F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: segments_meet(s, t)))
-    holds = F.exists(F.flatten(a["parts"]), lambda r: inside(r[0], b)) | F.exists(F.flatten(b["parts"]), lambda r: inside(r[0], a))
-    return F.when(a.isNull() | b.isNull(), F.lit(False)).otherwise(~(boxes_meet(bbox(a), bbox(b)) & (edges | holds)))
+    return F.when(a.isNull() | b.isNull(), F.lit(False)).otherwise(apart(shape(a), shape(b)))
 
 
 def set_crs(geom: Column, srid: int) -> Column:

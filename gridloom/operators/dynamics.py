@@ -96,24 +96,77 @@ def fractal_dimension(spectrum: Column) -> Column:
     return F.when(j == 0, F.lit(0.0)).when(j == F.size(s), j.cast("double")).otherwise(j + part)
 
 
-def spectrum_qr(systems: DataFrame, n: int = 2000, discard: int = 100) -> DataFrame:
-    """``id, spectrum`` of Henon maps (id, a, b) by QR of the Jacobian along the orbit."""
+def henon(state: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The next states (systems x 2) of Henon maps with parameters a and b, and their Jacobians."""
+    x, y = state.T
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    jac = np.stack([np.stack([-2 * p["a"] * x, one], 1), np.stack([p["b"], zero], 1)], 1)
+    return np.stack([1 - p["a"] * x * x + y, p["b"] * x], 1), jac
+
+
+def lorenz(state: np.ndarray, p: dict[str, np.ndarray], h: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """The next states (systems x 3) of Lorenz flows (sigma, rho, beta) after a Runge-Kutta step of ``h``, and the step's Jacobians."""
+
+    def slope(s: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y, z = s.T
+        one, zero = np.ones_like(x), np.zeros_like(x)
+        jac = np.stack([np.stack([-p["sigma"], p["sigma"], zero], 1), np.stack([p["rho"] - z, -one, -x], 1), np.stack([y, x, -p["beta"]], 1)], 1)
+        return np.stack([p["sigma"] * (y - x), x * (p["rho"] - z) - y, x * y - p["beta"] * z], 1), jac @ m
+
+    m = np.broadcast_to(np.eye(3), (len(state), 3, 3))
+    a, ma = slope(state, m)
+    b, mb = slope(state + h / 2 * a, m + h / 2 * ma)
+    c, mc = slope(state + h / 2 * b, m + h / 2 * mb)
+    d, md = slope(state + h * c, m + h * mc)
+    return state + h / 6 * (a + 2 * b + 2 * c + d), m + h / 6 * (ma + 2 * mb + 2 * mc + md)
+
+
+def spectrum_qr(systems: DataFrame, n: int = 2000, discard: int = 100, step=henon, start: tuple[float, ...] = (0.1, 0.1), time: float = 1.0, base2: bool = False) -> DataFrame:
+    """``id, spectrum`` of systems (id and the columns that ``step`` takes as parameters) by QR of the Jacobian along the orbit,
+    all systems of a batch at once. ``time`` is what a step takes; ``base2`` gives bits."""
+    names = [c for c in systems.columns if c != "id"]
+    unit = time * n * (math.log(2) if base2 else 1.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = {c: batch[c].to_numpy(float) for c in names}
+            state = np.tile(np.array(start, float), (len(batch), 1))
+            q, total = np.broadcast_to(np.eye(len(start)), (len(batch), len(start), len(start))), np.zeros((len(batch), len(start)))
+            for i in range(n + discard if len(batch) else 0):
+                state, jac = step(state, p)
+                q, r = np.linalg.qr(jac @ q)
+                if i >= discard:
+                    total += np.log(np.abs(np.diagonal(r, axis1=1, axis2=2)))
+            yield pd.DataFrame({"id": batch["id"], "spectrum": list(-np.sort(-total / unit, axis=1))})
+
+    return systems.mapInPandas(run, "id bigint, spectrum array<double>")
+
+
+def largest_wolf(series: DataFrame, horizon: int = 1, gap: int = 10, least: float = 1e-3) -> DataFrame:
+    """``id, le`` of scalar series (id, xs) by Wolf's method: follow a neighbour of the orbit (embedding of 2, at a distance of at
+    least ``least``) for ``horizon`` steps, add the log growth of the distance, then take a fresh neighbour of the new point."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                x, y, q, total = 0.1, 0.1, np.eye(2), np.zeros(2)
-                for i in range(n + discard):
-                    jac = np.array([[-2 * row.a * x, 1.0], [row.b, 0.0]])
-                    x, y = 1 - row.a * x * x + y, row.b * x
-                    q, r = np.linalg.qr(jac @ q)
-                    if i >= discard:
-                        total += np.log(np.abs(np.diag(r)))
-                out.append((row.id, sorted((total / n).tolist(), reverse=True)))
-            yield pd.DataFrame(out, columns=["id", "spectrum"])
-
-    return systems.select("id", "a", "b").mapInPandas(run, "id bigint, spectrum array<double>")
+                v = np.asarray(row.xs, float)
+                e = np.stack([v[:-1], v[1:]], 1)
+                m, at, total, taken = len(e) - horizon, 0, 0.0, 0
+                while at < m:
+                    d = np.sqrt(((e[:m] - e[at]) ** 2).sum(1))
+                    d[max(0, at - gap) : at + gap + 1] = np.inf
+                    d[d < least] = np.inf
+                    near = int(d.argmin())
+                    after = float(np.sqrt(((e[at + horizon] - e[near + horizon]) ** 2).sum()))
+                    if np.isfinite(d[near]) and after > 0:
+                        total += math.log(after / d[near])
+                        taken += horizon
+                    at += horizon
+                out.append((row.id, total / taken if taken else math.nan))
+            yield pd.DataFrame(out, columns=["id", "le"])
+
+    return series.select("id", "xs").mapInPandas(run, "id bigint, le double")
 
 
 def largest_rosenstein(series: DataFrame, reach: int = 10, gap: int = 10) -> DataFrame:

@@ -8,41 +8,52 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.numeric import ieee_ln
+from ..session import kept, scratch
 
-#: Up to so many units the whole state is one row of arrays; beyond, a join each step.
-ARRAY_UNITS = 20_000
+#: Up to so many units and pairs the whole state is one row of arrays; beyond, a join each step.
+ARRAY_UNITS, ARRAY_PAIRS = 4_096, 100_000
 
 
-def neighbours(units: DataFrame, cell: float = 1.0, mode: str = "compat") -> DataFrame:
+def cell_size(units: DataFrame) -> float:
+    """The median of the boxes' longer sides (1 if there is none), so that a box lies in few cells and a cell in few boxes."""
+    box = units.filter("geom IS NOT NULL").select(G.bbox(F.col("geom")).alias("b"))
+    got = box.agg(F.percentile_approx(F.greatest(F.expr("b.xmax - b.xmin"), F.expr("b.ymax - b.ymin")), 0.5, 1000)).first()[0]
+    return got or 1.0
+
+
+def neighbours(units: DataFrame, cell: float | None = None, mode: str = "compat") -> DataFrame:
     """``src, dst`` of units that share a point (``compat``: also each with itself).
 
-    Units are listed in the grid cells their boxes cover; only units of a cell are compared, and a pair is kept in the cell
-    of the lower left corner of the boxes' overlap, so no pair comes twice and no distinct is needed. A missing geometry
-    neighbours every unit.
+    Units are listed in the grid cells their boxes cover (of side ``cell``, in the units of the coordinates; by default that of
+    ``cell_size``); only units of a cell are compared, and a pair is kept in the cell of the lower left corner of the boxes'
+    overlap, so no pair comes twice and no distinct is needed. In compat mode a missing geometry neighbours every unit, so
+    the result then has units x missing rows. The pairs are computed once and kept.
     """
-    boxed = units.select("unit_id", "geom", G.bbox(F.col("geom")).alias("box"))
-    known = boxed.filter("geom IS NOT NULL")
+    cell = cell or cell_size(units)
+    known = units.filter("geom IS NOT NULL").select("unit_id", G.shape(F.col("geom")).alias("shape"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    cells = known.withColumn("cx", F.explode(span("box.xmin", "box.xmax"))).withColumn("cy", F.explode(span("box.ymin", "box.ymax")))
+    cells = known.withColumn("cx", F.explode(span("shape.box.xmin", "shape.box.xmax"))).withColumn("cy", F.explode(span("shape.box.ymin", "shape.box.ymax")))
     a, b = cells.alias("a"), cells.alias("b")
-    at = lambda c, lo: F.floor(F.greatest(F.col(f"a.box.{lo}"), F.col(f"b.box.{lo}")) / cell) == F.col(f"a.{c}")
-    near = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.unit_id") < F.col("b.unit_id")) & G.boxes_meet(F.col("a.box"), F.col("b.box"))
-    pairs = a.join(b, near).filter(at("cx", "xmin") & at("cy", "ymin")).filter(~G.disjoint(F.col("a.geom"), F.col("b.geom")))
-    half = pairs.select(F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst"))
-    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    lost = boxed.filter("geom IS NULL").select(F.col("unit_id").alias("src"))
-    ids = units.select(F.col("unit_id").alias("dst"))
-    to_all = lost.join(ids, F.col("src") != F.col("dst")) if mode == "compat" else None
-    if to_all is not None:
-        back = to_all.join(lost.withColumnRenamed("src", "_l"), F.col("dst") == F.col("_l"), "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        both = both.unionByName(to_all).unionByName(back)
+    at = lambda c, lo: F.floor(F.greatest(F.col(f"a.shape.box.{lo}"), F.col(f"b.shape.box.{lo}")) / cell) == F.col(f"a.{c}")
+    near = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.unit_id") < F.col("b.unit_id")) & at("cx", "xmin") & at("cy", "ymin")
+    pairs = a.join(b, near).filter(~G.apart(F.col("a.shape"), F.col("b.shape")))
+    one = F.array(F.struct(F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst")), F.struct(F.col("b.unit_id").alias("src"), F.col("a.unit_id").alias("dst")))
+    both = pairs.select(F.inline(one))
+    if mode == "compat":
         both = both.unionByName(units.select(F.col("unit_id").alias("src"), F.col("unit_id").alias("dst")))
-    return both
+        lost = units.filter("geom IS NULL").select(F.col("unit_id").alias("lost"))
+        if lost.limit(1).count():
+            others = units.select(F.col("unit_id").alias("other"), F.col("geom").isNull().alias("also"))
+            met = lost.join(others, F.col("lost") != F.col("other"))
+            there = met.select(F.col("lost").alias("src"), F.col("other").alias("dst"))
+            back = met.filter("NOT also").select(F.col("other").alias("src"), F.col("lost").alias("dst"))
+            both = both.unionByName(there).unionByName(back)
+    return kept(both)
 
 
 def neighbour_lists(pairs: DataFrame) -> DataFrame:
@@ -78,6 +89,19 @@ def euler_step(matrix: DataFrame, state: DataFrame, dt: float = 1.0, alpha: floa
     return state.join(moved, "unit_id", "left").select("unit_id", (F.col("value") - F.lit(alpha**2 * dt) * F.coalesce("_l", F.lit(0.0))).alias("value"))
 
 
+def runge_kutta_step(matrix: DataFrame, state: DataFrame, dt: float = 1.0, alpha: float = 0.25) -> DataFrame:
+    """One classical fourth-order step of p' = -alpha^2 L p. For a linear equation its four slopes are powers of the operator:
+    p + h k + h^2 k^2 / 2 + h^3 k^3 / 6 + h^4 k^4 / 24 with k = -alpha^2 L."""
+    power, terms = state.select("unit_id", "value"), [state.select("unit_id", "value")]
+    for i in range(1, 5):
+        power = matvec(matrix, power).select("unit_id", (F.col("value") * F.lit(-(alpha**2) * dt / i)).alias("value"))
+        terms.append(power)
+    total = terms[0]
+    for t in terms[1:]:
+        total = total.unionByName(t)
+    return total.groupBy("unit_id").agg(F.sum("value").alias("value"))
+
+
 def steps_of(t0: float, dt: float, max_t: float) -> int:
     n = max(0, math.ceil((max_t - t0) / dt))
     if n == 0:
@@ -89,7 +113,7 @@ def solve(units: DataFrame, pairs: DataFrame, t0: float = 0.0, dt: float = 1.0,
     """``step, unit_id, value`` of every recorded step. ``compat``: the last row holds the state after the last step, so the
     state before it is missing; ``corrected``: rows 0..n, the final state included."""
     n = steps_of(t0, dt, max_t)
-    if units.limit(array_units + 1).count() <= array_units:
+    if units.limit(array_units + 1).count() <= array_units and pairs.limit(ARRAY_PAIRS + 1).count() <= ARRAY_PAIRS:
         return _solve_arrays(units, pairs, n, alpha**2 * dt, mode)
     return _solve_joins(units, pairs, n, dt, alpha, mode)
 
@@ -100,12 +124,14 @@ def _recorded(n: int, mode: str) -> list[int]:
 
 def _solve_arrays(units: DataFrame, pairs: DataFrame, n: int, rate: float, mode: str) -> DataFrame:
     """The state as one array, folded over the steps: no shuffle and no job for a step."""
-    lists = neighbour_lists(pairs.filter("src <> dst")).withColumnRenamed("src", "unit_id")
-    deg = degrees(units, pairs)
-    rows = units.select("unit_id", F.col("value").cast("double").alias("value")).join(lists, "unit_id", "left").join(deg, "unit_id")
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("unit_id", "value", "degree", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours")))).alias("u"))
-    one = one.select(F.transform("u", lambda x: x["unit_id"]).alias("ids"), F.transform("u", lambda x: x["value"]).alias("p0"), F.transform("u", lambda x: x["degree"].cast("double")).alias("deg"), F.transform("u", lambda x: x["neighbours"]).alias("near"))
-    one = one.withColumn("near", F.transform("near", lambda l: F.transform(l, lambda v: (F.array_position(F.col("ids"), v) - 1).cast("int"))))
+    place = units.select("unit_id", (F.row_number().over(Window.orderBy("unit_id")) - 1).alias("at"))  # few units, one task
+    of = lambda c: place.select(F.col("unit_id").alias(c), F.col("at").alias(f"at_{c}"))
+    placed = pairs.join(of("src"), "src").join(of("dst"), "dst")
+    lists = placed.groupBy(F.col("src").alias("unit_id")).agg(F.count(F.lit(1)).alias("degree"), F.sort_array(F.collect_list(F.when(F.col("src") != F.col("dst"), F.col("at_dst")))).alias("near"))
+    rows = units.select("unit_id", F.col("value").cast("double").alias("value")).join(lists, "unit_id", "left")
+    of_unit = F.struct("unit_id", "value", F.coalesce("degree", F.lit(0)).cast("double").alias("degree"), F.coalesce("near", F.array().cast("array<int>")).alias("near"))
+    one = rows.agg(F.sort_array(F.collect_list(of_unit)).alias("u"))
+    one = one.select(*[F.col(f"u.{c}").alias(n) for n, c in (("ids", "unit_id"), ("p0", "value"), ("deg", "degree"), ("near", "near"))])
 
     def step(p: F.Column) -> F.Column:
         return F.transform(p, lambda v, i: v - F.lit(rate) * (F.col("deg")[i] * v - F.aggregate(F.col("near")[i], F.lit(0.0), lambda a, j: a + p[j])))
@@ -124,21 +150,21 @@ def _solve_arrays(units: DataFrame, pairs: DataFrame, n: int, rate: float, mode:
 
 
 def _solve_joins(units: DataFrame, pairs: DataFrame, n: int, dt: float, alpha: float, mode: str) -> DataFrame:
-    """The state as rows; a step is a join on the unit and a sum, its result checkpointed in the shared folder."""
-    spark = units.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """The state as rows; a step is a join on the unit and a sum. Each state is written once, to a table in the shared folder
+    that is both the result and where the next step starts."""
+    spark, path = units.sparkSession, scratch(units.sparkSession)
     matrix = laplacian(units, pairs).repartition("j").persist()
-    state = units.select("unit_id", F.col("value").cast("double").alias("value")).checkpoint()
-    keep = {s: i for i, s in enumerate(_recorded(n, mode))}
-    out = state.select(F.lit(0).alias("step"), "unit_id", "value") if 0 in keep else None
-    for s in range(1, n + 1):
-        state = euler_step(matrix, state, dt, alpha).checkpoint()
-        if s in keep:
-            row = state.select(F.lit(keep[s]).alias("step"), "unit_id", "value")
-            out = row if out is None else out.unionByName(row)
+    state = units.select("unit_id", F.col("value").cast("double").alias("value"))
+    keep, schema = {s: i for i, s in enumerate(_recorded(n, mode))}, state.schema
+    for s in range(n + 1):
+        if s:
+            state = euler_step(matrix, state, dt, alpha)
+        at = f"{path}/state={s}"
+        state.write.parquet(at)
+        state = spark.read.schema(schema).parquet(at)
     matrix.unpersist()
-    return out
+    step = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair])[F.col("state")]
+    return spark.read.schema("unit_id bigint, value double, state int").parquet(path).select(step.alias("step"), "unit_id", "value").filter("step IS NOT NULL")
 
 
 def frames(history: DataFrame, areas: DataFrame, every: int = 10) -> DataFrame:

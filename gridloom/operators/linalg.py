@@ -1,19 +1,27 @@
 """Linear algebra of tall matrices: rows are records, columns few.
 
 ``(id, x array<double>)`` rows stay distributed; what meets on the driver is columns x columns (``MAX_COLUMNS`` checks it).
-Factorisations go through the Gram matrix, whose partial sums are made in the tasks.
+Every task reduces its rows to one small matrix (a triangular factor, or a sum of products), a row of packed numbers; those
+meet in a tree of at most ``FAN`` a task.
+
+Singular values and right vectors come from the triangular factor of a QR factorisation, so values down to the
+rounding error of the largest are right. Wide matrices need nothing else: there are as many values as the smaller side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_COLUMNS = 2048
+FAN = 32
+#: Singular values up to this share of the largest count as 0 in corrected mode.
+RCOND = 1e-12
 
 
 def columns_of(rows: DataFrame) -> int:
@@ -25,35 +33,68 @@ def columns_of(rows: DataFrame) -> int:
     return got["n"]
 
 
-def gram(rows: DataFrame) -> DataFrame:
-    """``i, j, v`` of X'X."""
+def _triangle(parts: list[np.ndarray]) -> np.ndarray:
+    return np.linalg.qr(np.vstack(parts), mode="r")
+
+
+def _products(parts: list[np.ndarray]) -> np.ndarray:
+    return np.sum(parts, axis=0)
+
+
+def _reduced(rows: DataFrame, first: Callable[[np.ndarray], np.ndarray], combine: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """One row ``m`` (columns wide, packed by rows): ``first`` of each batch, combined in the task and then in a tree."""
+    kind = "part int, n int, m binary"
+
+    def pack(part: int, m: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "n": [m.shape[1]], "m": [np.ascontiguousarray(m, float).tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
             if len(batch):
-                x = np.stack(batch["x"].to_list()).astype(float)
-                total = x.T @ x if total is None else total + x.T @ x
+                one = first(np.stack(batch["x"].to_list()).astype(float))
+                total = one if total is None else combine([total, one])
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+            yield pack(TaskContext.get().partitionId(), total)
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pack(int(key[0]), combine([np.frombuffer(m, float).reshape(-1, n) for n, m in zip(group["n"], group["m"])]))
+
+    parts = rows.select("x").mapInPandas(run, kind)
+    for ways in (FAN * FAN, FAN, 1):
+        parts = parts.withColumn("part", F.col("part") % ways).groupBy("part").applyInPandas(meet, kind)
+    return parts.select("n", "m")
+
+
+def _matrix(reduced: DataFrame, n: int) -> np.ndarray:
+    got = reduced.first()
+    return np.frombuffer(got["m"], float).reshape(-1, n) if got else np.zeros((0, n))
+
+
+def gram(rows: DataFrame) -> DataFrame:
+    """``i, j, v`` of X'X."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n, m in zip(batch["n"], batch["m"]):
+                i, j = np.indices((n, n))
+                yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": np.frombuffer(m, float)})
 
-    return rows.select("x").mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return _reduced(rows, lambda x: x.T @ x, _products).mapInPandas(spread, "i int, j int, v double")
 
 
 def gram_matrix(rows: DataFrame) -> np.ndarray:
     n = columns_of(rows)
-    out = np.zeros((n, n))
-    for r in gram(rows).collect():  # n x n
-        out[r["i"], r["j"]] = r["v"]
-    return out
+    out = _matrix(_reduced(rows, lambda x: x.T @ x, _products), n)
+    return out if len(out) else np.zeros((n, n))
 
 
-def right_factors(rows: DataFrame, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The largest singular values and their right vectors (columns x k)."""
-    w, v = np.linalg.eigh(gram_matrix(rows))
-    order = np.argsort(w)[::-1][:k]
-    return np.sqrt(np.maximum(w[order], 0)), v[:, order]
+def right_factors(rows: DataFrame, k: int | None = None, full: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The largest singular values and their right vectors (columns x k; ``full``: a whole basis)."""
+    n = columns_of(rows)
+    r = _matrix(_reduced(rows, lambda x: np.linalg.qr(x, mode="r"), _triangle), n)
+    _, s, vt = np.linalg.svd(r, full_matrices=full)
+    return (s, vt.T) if full else (s[:k], vt.T[:, :k])
 
 
 def times(rows: DataFrame, matrix: np.ndarray, name: str = "y") -> DataFrame:
@@ -68,11 +109,26 @@ def times(rows: DataFrame, matrix: np.ndarray, name: str = "y") -> DataFrame:
     return rows.select("id", "x").mapInPandas(run, f"id bigint, {name} array<double>")
 
 
+def _inverse(s: np.ndarray, mode: str, rcond: float = RCOND) -> np.ndarray:
+    """1/s: ``compat`` of every value, however small; ``corrected`` 0 for those up to rcond times the largest."""
+    with np.errstate(divide="ignore"):
+        return 1 / s if mode == "compat" else np.where(s > rcond * s.max(initial=0), 1 / np.where(s > 0, s, 1), 0)
+
+
 def svd(rows: DataFrame, k: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Thin factors: ``U`` as rows (id, u), singular values, right vectors. Vectors of zero values are zero."""
     s, v = right_factors(rows, k)
-    inverse = np.where(s > 1e-12 * max(s.max(initial=0), 1e-300), 1 / np.where(s > 0, s, 1), 0)
-    return times(rows, v * inverse, "u"), s, v
+    return times(rows, v * _inverse(s, "corrected"), "u"), s, v
+
+
+def svd_full(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole bases U (rows by id), the singular values and V, of a matrix that has at most MAX_COLUMNS rows too."""
+    columns_of(rows)
+    got = rows.orderBy("id").limit(MAX_COLUMNS + 1).collect()
+    if len(got) > MAX_COLUMNS:
+        raise ValueError(f"a whole left basis needs at most {MAX_COLUMNS} rows")
+    u, s, vt = np.linalg.svd(np.array([r["x"] for r in got], float))
+    return u, s, vt.T
 
 
 def singular_values(rows: DataFrame, k: int | None = None) -> DataFrame:
@@ -80,25 +136,30 @@ def singular_values(rows: DataFrame, k: int | None = None) -> DataFrame:
     return rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "place int, s double")
 
 
-def pseudo_inverse(rows: DataFrame, mode: str = "compat", rcond: float = 1e-8) -> DataFrame:
-    """``id, p``: the column of the pseudo-inverse that belongs to each row. ``compat`` divides by every singular value,
-    however small; ``corrected`` leaves out those up to rcond times the largest."""
+def pseudo_inverse(rows: DataFrame, mode: str = "compat", rcond: float = RCOND) -> DataFrame:
+    """``id, p``: the column of the pseudo-inverse that belongs to each row, V S+ U' row by row. ``compat`` divides by every
+    singular value, however small; ``corrected`` leaves out those up to rcond times the largest."""
     s, v = right_factors(rows)
-    if mode == "corrected":
-        keep = s > rcond * s.max(initial=0)
-        s, v = s[keep], v[:, keep]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return times(rows, v @ np.diag(1 / s**2) @ v.T, "p")
+    inverse = _inverse(s, mode, rcond)
+    with np.errstate(invalid="ignore", over="ignore"):
+        return times(rows, (v * inverse) @ (v * inverse).T, "p")
 
 
 def rank_k(rows: DataFrame, ks: list[int]) -> DataFrame:
-    """``k, id, y``: the best approximation of each rank."""
+    """``k, id, x, y``: each row and its best approximation of each rank, all ranks in one pass over the rows."""
     _, v = right_factors(rows)
-    out = None
-    for k in ks:
-        one = times(rows, v[:, :k] @ v[:, :k].T).withColumn("k", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out.select("k", "id", "y")
+    shared = rows.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"].to_list()).astype(float)
+                along = x @ shared.value
+                for k in ks:
+                    y = along[:, :k] @ shared.value[:, :k].T
+                    yield pd.DataFrame({"k": np.full(len(x), k, np.int32), "id": batch["id"], "x": list(x), "y": list(y)})
+
+    return rows.select("id", "x").mapInPandas(run, "k int, id bigint, x array<double>, y array<double>")
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -111,22 +172,38 @@ def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
+def entries(rows: DataFrame, column: str = "x") -> DataFrame:
+    """``i, j, v`` of rows of arrays, columns counted from 0."""
+    return rows.select(F.col("id").alias("i"), F.posexplode(column).alias("j", "v"))
+
+
+def dense(entries: DataFrame, n_rows: int, n_columns: int) -> DataFrame:
+    """``id, x`` of a sparse matrix (i, j, v): absent entries and rows are 0. The sums of a row meet in its task."""
+    spark = entries.sparkSession
+    held = entries.groupBy(F.col("i").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), "v"))).alias("_m"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda j: F.coalesce(F.try_element_at("_m", j), F.lit(0.0)))
+    return spark.range(n_rows).join(held, "id", "left").select("id", value.alias("x"))
+
+
 def power_method(rows: DataFrame, steps: int = 100) -> DataFrame:
-    """``place, v``: the leading right vector by repeated multiplication with the Gram matrix; its sum is positive."""
+    """``place, v``: the leading right vector by repeated multiplication with the Gram matrix (columns x columns, on the
+    driver); its sum is positive."""
     g = gram_matrix(rows)
     v = np.ones(len(g))
     for _ in range(steps):
         v = g @ v
-        v = v / np.linalg.norm(v)
+        v = v / (np.linalg.norm(v) or 1.0)
     v = v if v.sum() >= 0 else -v
     return rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "place int, v double")
 
 
 def least_squares(rows: DataFrame) -> DataFrame:
-    """``place, b`` from rows (x, y): intercept first, through the pseudo-inverse of the normal equations."""
-    wide = rows.select(F.concat(F.array(F.lit(1.0)), F.col("x"), F.array("y")).alias("x"))
-    g = gram_matrix(wide)
-    b = np.linalg.pinv(g[:-1, :-1]) @ g[:-1, -1]
+    """``place, b`` from rows (x, y), any number of regressors, intercept first. The triangular factor of (1, x, y) holds
+    all that is needed, so the normal equations and their squared condition are avoided."""
+    wide = rows.select(F.concat(F.array(F.lit(1.0)), F.col("x"), F.array(F.col("y").cast("double"))).alias("x"))
+    n = columns_of(wide)
+    r = _matrix(_reduced(wide, lambda x: np.linalg.qr(x, mode="r"), _triangle), n)
+    b = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0] if n else np.empty(0)
     return rows.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "place int, b double")
 
 
@@ -134,15 +211,14 @@ def pca(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """``id, y`` (coordinates on the first k components, signs so that each component's sum is positive) and the
     components' variances."""
     n = columns_of(rows)
-    g = gram_matrix(rows.select(F.concat(F.array(F.lit(1.0)), F.col("x")).alias("x")))
-    count, mean = g[0, 0], g[0, 1:] / g[0, 0]
-    cov = (g[1:, 1:] - count * np.outer(mean, mean)) / max(1, count - 1)
-    w, v = np.linalg.eigh(cov)
-    order = np.argsort(w)[::-1][:k]
-    v = v[:, order] * np.where(v[:, order].sum(0) >= 0, 1, -1)
+    sums = _matrix(_reduced(rows, lambda x: np.stack([x.sum(0), np.full(x.shape[1], len(x))]), _products), n)
+    if not len(sums):
+        return times(rows, np.zeros((0, k))), np.empty(0)
+    mean, count = sums[0] / sums[1], sums[1, 0]
     moved = rows.withColumn("x", F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b))
-    assert n == len(mean)
-    return times(moved, v), w[order]
+    s, v = right_factors(moved, k)
+    v = v * np.where(v.sum(0) >= 0, 1, -1)
+    return times(moved, v), s**2 / max(1, count - 1)
 
 
 def clusters(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -157,16 +233,22 @@ def clusters(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
         ready.unpersist()
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
 def document_ranking(documents: DataFrame, steps: int = 5) -> DataFrame:
     """``doc_id, rank``: projection on the leading direction of the term-document matrix, by power iteration with joins.
-    Terms are counted once per document; the lineage is short, so nothing is cut."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    counts = documents.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    counts = counts.persist()
-    state = documents.select("doc_id").distinct().withColumn("rank", F.lit(1.0))
+
+    Terms are counted once per document; both joins of a step reuse those counts' exchanges. Weights are scaled once, at the
+    end, so nothing goes through the driver. Documents without words have rank 0; an id that several rows have is one
+    document.
+    """
+    counts = documents.select("doc_id", F.explode(words_of(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    state = counts.select("doc_id").distinct().withColumn("w", F.lit(1.0))
     for _ in range(steps):
-        terms = counts.join(state, "doc_id").groupBy("term").agg(F.sum(F.col("n") * F.col("rank")).alias("w"))
-        new = counts.join(terms, "term").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("w")).alias("w"))
-        size = new.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 1.0  # one number
-        state = new.select("doc_id", (F.col("w") / F.lit(size)).alias("rank"))
-    return state
+        terms = counts.join(state, "doc_id").groupBy("term").agg(F.sum(F.col("n") * F.col("w")).alias("t"))
+        state = counts.join(terms, "term").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("t")).alias("w"))
+    size = state.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_size"))  # one row
+    ranked = state.crossJoin(F.broadcast(size)).select("doc_id", F.try_divide("w", "_size").alias("rank"))
+    return documents.select("doc_id").distinct().join(ranked, "doc_id", "left").select("doc_id", F.coalesce("rank", F.lit(0.0)).alias("rank"))

@@ -6,7 +6,7 @@ its customers. Doubles are rounded to 9 places on both sides.
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from ..operators import dynamics as D
 from ..operators import graph as R
 from ..operators import linalg as L
 from ..operators import relational as Q
+from ..session import scratch
 from ..sources import files as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,12 +52,6 @@ def rounded(df: DataFrame, places: int = 9) -> DataFrame:
     return df.select([F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder (on one machine: in the warehouse)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-
-
 _U = """u AS (SELECT CAST(n_nationkey AS BIGINT) AS unit_id, n_name, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey // 5 AS DOUBLE) AS y,
  CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS DOUBLE) AS value FROM nation)"""
 _E = _U + """, e AS (SELECT a.unit_id AS src, b.unit_id AS dst FROM u a, u b WHERE abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)"""
@@ -110,6 +105,36 @@ def src_csv_promote_header(spark, sf):
     return S.read_csv_promote_header(spark, path, ["a", "b"])
 
 
+@query("SELECT s_name AS name, CAST(s_nationkey AS DOUBLE) AS lon, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE round(s_acctbal, 2) END AS lat FROM supplier")
+def src_csv_untyped(spark, sf):
+    """Text columns first, casts later; what is no number becomes null."""
+    path = scratch(spark)
+    dirty = F.when(F.col("s_suppkey") % 10 == 0, F.lit("n/a")).otherwise(F.round("s_acctbal", 2).cast("string"))
+    table(spark, sf, "supplier").select("s_name", F.col("s_nationkey").cast("string"), dirty).write.option("header", True).csv(path)
+    return S.numbers(S.read_csv_text(spark, path, ["name", "lon", "lat"]), ["lon", "lat"])
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(3 * i + j + 1 AS DOUBLE) AS v FROM range(3) a(i), range(3) b(j)")
+def src_literal(spark, sf):
+    return L.entries(S.literal(spark, [[1, 2, 3], [4, 5, 6], [7, 8, 9]]))
+
+
+@query("SELECT CAST(i AS BIGINT) AS id, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN coalesce(r_regionkey, 0) ELSE 0 END AS DOUBLE) AS v FROM range(7) a(i) LEFT JOIN region ON r_regionkey = i, range(6) b(j)")
+def src_zeros(spark, sf):
+    """A zero matrix, and the entries of a sparse one put into it."""
+    diagonal = table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("i"), F.col("r_regionkey").alias("j"), F.col("r_regionkey").cast("double").alias("v"))
+    both = S.zeros(spark, 7, 6).join(L.dense(diagonal, 7, 6).withColumnRenamed("x", "y"), "id")
+    return both.select("id", F.posexplode(F.zip_with("x", "y", lambda a, b: a + b)).alias("j", "v"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(s_nationkey AS DOUBLE) END AS lon, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey AS DOUBLE) END AS lat FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def src_geocode(spark, sf):
+    """Addresses looked up in a table; some are missing, some unknown."""
+    known = table(spark, sf, "supplier").select(F.concat(F.lit("place "), F.col("s_suppkey").cast("string")).alias("address"), F.col("s_nationkey").alias("lon"), F.col("s_suppkey").alias("lat"))
+    asked = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("place "), F.col("c_custkey").cast("string"))).alias("address"))
+    return Q.geocode(asked, "address", known).select("c_custkey", "coords.lon", "coords.lat")
+
+
 @query("SELECT id, round(2.5 + id * (1.5 / 999), 12) AS r FROM range(1000) t(id)")
 def src_linspace(spark, sf):
     return rounded(S.linspace(spark, 2.5, 4.0, 1000), 12)
@@ -139,14 +164,15 @@ def prj_area_attr(spark, sf):
     return rounded(table(spark, sf, "part").select("p_partkey", N.hectares(F.col("p_retailprice")).alias("Area_HA")))
 
 
-_FULL = """a AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name FROM nation WHERE n_nationkey >= 3),
-b AS (SELECT CAST(c_nationkey AS VARCHAR) AS k, CAST(count(*) AS DOUBLE) AS v FROM customer WHERE c_nationkey < 22 GROUP BY c_nationkey),
+_FULL = """a AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name FROM nation),
+b AS (SELECT CAST(c_nationkey + 3 AS VARCHAR) AS k, CAST(count(*) AS DOUBLE) AS v FROM customer GROUP BY c_nationkey),
 j AS (SELECT coalesce(a.k, b.k) AS ED_ID, n_name, v AS VALUE FROM a FULL OUTER JOIN b ON a.k = b.k)"""
 
 
 def _joined(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "nation").filter("n_nationkey >= 3").select(F.col("n_nationkey").cast("string").alias("ED_ID"), "n_name")
-    b = table(spark, sf, "customer").filter("c_nationkey < 22").groupBy(F.col("c_nationkey").cast("string").alias("ED_ID")).agg(F.count(F.lit(1)).cast("double").alias("VALUE"))
+    """Keys of the two sides are three apart, so that some match nothing."""
+    a = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("ED_ID"), "n_name")
+    b = table(spark, sf, "customer").groupBy((F.col("c_nationkey") + 3).cast("string").alias("ED_ID")).agg(F.count(F.lit(1)).cast("double").alias("VALUE"))
     return Q.full_outer(a, b, "ED_ID")
 
 
@@ -161,6 +187,12 @@ def prj_ln_density(spark, sf):
     return units(spark, sf).select("unit_id", F.round(N.ieee_ln(N.ieee_div(F.col("value") - 60, F.lit(0.0001))), 9).alias("density_to_plot"))
 
 
+@query("SELECT n_nationkey, CAST(NULL AS BIGINT) AS n, true AS missing FROM nation")
+def prj_null_column(spark, sf):
+    got = Q.null_column(table(spark, sf, "nation").select("n_nationkey"), "NEIGHBORS")
+    return got.select("n_nationkey", F.get("NEIGHBORS", F.lit(0)).alias("n"), F.col("NEIGHBORS").isNull().alias("missing"))
+
+
 @query("SELECT s_suppkey, s_acctbal AS Total FROM supplier")
 def prj_rename(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").withColumnRenamed("s_acctbal", "Total")
@@ -176,9 +208,10 @@ def prj_cast_add(spark, sf):
     return table(spark, sf, "part").select("p_partkey", (F.col("p_size").cast("string").cast("double") + F.col("p_partkey").cast("string").cast("double")).alias("Total"))
 
 
-@query("SELECT o_orderkey, coalesce(CAST(nullif(o_custkey % 5, 0) AS VARCHAR), 'nan') AS k FROM orders")
+@query("SELECT o_orderkey, coalesce(CAST(nullif(o_custkey % 5, 0) AS VARCHAR), 'nan') AS k, coalesce(CAST(CAST(nullif(o_custkey % 5, 0) AS DOUBLE) AS VARCHAR), 'nan') AS float_k FROM orders")
 def prj_cast_key(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", Q.key_text(F.nullif(F.col("o_custkey") % 5, F.lit(0))).alias("k"))
+    key = F.nullif(F.col("o_custkey") % 5, F.lit(0))
+    return table(spark, sf, "orders").select("o_orderkey", Q.key_text(key).alias("k"), Q.key_text(key.cast("double")).alias("float_k"))
 
 
 @query("SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS x, s_acctbal AS y FROM supplier")
@@ -221,6 +254,12 @@ def jn_full_outer(spark, sf):
     return Q.full_outer(a, b, "k")
 
 
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS n_x, b.n AS n_y FROM (SELECT n_regionkey + 1 AS k, n_nationkey AS n FROM nation) a FULL OUTER JOIN (SELECT r_regionkey AS k, r_regionkey AS n FROM region) b ON a.k = b.k ORDER BY 1 NULLS LAST")
+def ord_outer_sorted(spark, sf):
+    a = table(spark, sf, "nation").select((F.col("n_regionkey") + 1).alias("k"), F.col("n_nationkey").alias("n"))
+    return Q.outer_sorted(a, table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_regionkey").alias("n")), "k")
+
+
 @query("WITH " + _E + " SELECT src, dst FROM e")
 def jn_spatial_neighbors(spark, sf):
     return R.neighbours(units(spark, sf))
@@ -272,6 +311,12 @@ def gr_euler_step(spark, sf):
     return rounded(R.euler_step(R.laplacian(base, R.neighbours(base)), base.select("unit_id", "value")))
 
 
+@query("WITH " + _LAP + ", " + ", ".join(f"k{i} AS (SELECT lap.i AS i, -0.0625 / {i} * sum(lap.v * p.v) AS v FROM lap JOIN {'k%d' % (i - 1) if i > 1 else '(SELECT unit_id AS i, value AS v FROM u)'} p ON lap.j = p.i GROUP BY lap.i)" for i in range(1, 5)) + " SELECT unit_id, round(value + k1.v + k2.v + k3.v + k4.v, 9) AS value FROM u JOIN k1 ON k1.i = unit_id JOIN k2 ON k2.i = unit_id JOIN k3 ON k3.i = unit_id JOIN k4 ON k4.i = unit_id")
+def gr_runge_kutta(spark, sf):
+    base = units(spark, sf)
+    return rounded(R.runge_kutta_step(R.laplacian(base, R.neighbours(base)), base))
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     base = units(spark, sf)
     return R.solve(base, R.neighbours(base))
@@ -305,6 +350,26 @@ def snk_choropleth_norm(spark, sf):
     return rounded(Q.min_max(_frames(spark, sf), "density_to_plot", "frame_k").select("frame_k", "unit_id", "shade"), 6)
 
 
+@query(_FRAMES + " SELECT frame_k, unit_id, round(v, 9) AS value FROM f")
+def snk_frames(spark, sf):
+    """The frames written, a folder for each, and read again."""
+    path = scratch(spark)
+    S.write_frames(_frames(spark, sf), path)
+    return rounded(spark.read.schema("unit_id bigint, value double, frame_k int").parquet(path).select("frame_k", "unit_id", "value"))
+
+
+@query(_FRAMES + " SELECT frame_k, unit_id, round(v, 9) AS value FROM f WHERE frame_k = 7")
+def src_frame(spark, sf):
+    path = scratch(spark)
+    S.write_frames(_frames(spark, sf), path)
+    return rounded(S.read_frame(spark, path, "unit_id bigint, value double", 7).select("frame_k", "unit_id", "value"))
+
+
+@query("SELECT n_name FROM nation")
+def snk_column(spark, sf):
+    return table(spark, sf, "nation").select("n_name")
+
+
 @query("SELECT 'units' AS layer, 0 AS draw_order, n_name AS name, CAST(NULL AS DOUBLE) AS Total FROM nation UNION ALL SELECT 'suppliers', 1, s_name, s_acctbal FROM supplier UNION ALL SELECT 'customers', 2, c_name, c_acctbal FROM customer")
 def snk_layer_overlay(spark, sf):
     layers = {
@@ -345,17 +410,43 @@ def scl_disjoint(spark, sf):
     return a.join(b, F.col("a") <= F.col("b")).select("a", "b", G.disjoint(F.col("ga"), F.col("gb")).alias("apart"))  # 25 x 25
 
 
-@query("WITH " + _U + " SELECT unit_id, true AS plausible FROM u")
+def _to_grid_sql() -> str:
+    """The same published formulas, step by step: geocentric coordinates, shift, geodetic ones, transverse Mercator."""
+    (a, f), (b, g), (dx, dy, dz), grid = G.WGS84, G.AIRY_MODIFIED, G.TO_TM65, G.IRISH_GRID
+    e, h = f * (2 - f), g * (2 - g)
+    minor, second = b * (1 - g), h / (1 - h)
+    arc = lambda at: f"({b!r} * ({1 - h / 4 - 3 * h**2 / 64 - 5 * h**3 / 256!r} * {at} - {3 * h / 8 + 3 * h**2 / 32 + 45 * h**3 / 1024!r} * sin(2 * {at}) + {15 * h**2 / 256 + 45 * h**3 / 1024!r} * sin(4 * {at}) - {35 * h**3 / 3072!r} * sin(6 * {at})))"
+    return f"""p AS (SELECT unit_id, place, radians(-10.0 + x + dx) AS lo, radians(51.5 + y * 0.5 + dy) AS la FROM u, (VALUES (0, 0.0, 0.0), (1, 0.01, 0.0), (2, 0.01, 0.01), (3, 0.0, 0.01), (4, 0.0, 0.0)) t(place, dx, dy)),
+n AS (SELECT *, {a!r} / sqrt(1 - {e!r} * sin(la) * sin(la)) AS n FROM p),
+c AS (SELECT unit_id, place, n * cos(la) * cos(lo) + {dx!r} AS x, n * cos(la) * sin(lo) + {dy!r} AS y, n * (1 - {e!r}) * sin(la) + {dz!r} AS z FROM n),
+t AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {b!r}, sqrt(x * x + y * y) * {minor!r}) AS th FROM c),
+l AS (SELECT unit_id, place, atan2(z + {second!r} * {minor!r} * pow(sin(th), 3), p - {h!r} * {b!r} * pow(cos(th), 3)) AS la, atan2(y, x) AS lo FROM t),
+m AS (SELECT *, {b!r} / sqrt(1 - {h!r} * pow(sin(la), 2)) AS nu, pow(tan(la), 2) AS t, {second!r} * pow(cos(la), 2) AS c, (lo - {math.radians(grid["lon0"])!r}) * cos(la) AS w FROM l)
+SELECT unit_id, CAST(29902 AS INTEGER) AS srid, CAST(place AS INTEGER) AS place,
+round({grid["fe"]!r} + {grid["k"]!r} * nu * (w + (1 - t + c) * pow(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {second!r}) * pow(w, 5) / 120), 3) AS east,
+round({grid["fn"]!r} + {grid["k"]!r} * ({arc("la")} - {arc(repr(math.radians(grid["lat0"])))} + nu * tan(la) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {second!r}) * pow(w, 6) / 720)), 3) AS north FROM m"""
+
+
+@query("WITH " + _U + ", " + _to_grid_sql())
 def scl_to_crs(spark, sf):
+    """Corners of small boxes over Ireland, in the Irish Grid to the millimetre."""
     x, y = -10.0 + F.col("unit_id") % 5, 51.5 + F.floor(F.col("unit_id") / 5) * 0.5
     moved = G.to_crs(G.box(x, y, x + 0.01, y + 0.01, 4326))
-    a = G.area(moved) / (F.lit(111_250.0) * F.lit(111_320.0) * F.cos(F.radians(y)) * 0.0001)
-    return units(spark, sf).select("unit_id", ((a > 0.98) & (a < 1.02) & (moved["srid"] == 29902)).alias("plausible"))
+    corners = units(spark, sf).select("unit_id", moved.alias("g")).select("unit_id", "g.srid", F.posexplode(G.vertices(F.col("g"))).alias("place", "p"))
+    return rounded(corners.select("unit_id", "srid", "place", F.col("p.x").alias("east"), F.col("p.y").alias("north")), 3)
 
 
-@query("WITH " + _U + " SELECT unit_id, CAST(4326 AS INTEGER) AS srid FROM u")
+@query("WITH " + _U + " SELECT 'units' AS layer, unit_id AS id, CAST(0 AS INTEGER) AS srid, x, y FROM u UNION ALL SELECT 'suppliers', s_suppkey, 4326, CAST(s_nationkey AS DOUBLE), s_acctbal FROM supplier UNION ALL SELECT 'customers', c_custkey, 4326, CAST(c_nationkey AS DOUBLE), c_acctbal FROM customer")
 def scl_set_crs(spark, sf):
-    return units(spark, sf).select("unit_id", G.set_crs(F.col("geom"), 4326)["srid"].alias("srid"))
+    """Two of three layers are given a reference system; coordinates stay."""
+    dot = lambda x, y: F.struct(F.lit("Point").alias("kind"), F.lit(0).alias("srid"), F.array(F.array(F.array(G.point(x, y)))).alias("parts"))
+    layers = {
+        "units": units(spark, sf).select(F.col("unit_id").alias("id"), "geom"),
+        "suppliers": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), G.set_crs(dot(F.col("s_nationkey"), F.col("s_acctbal")), 4326).alias("geom")),
+        "customers": table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), G.set_crs(dot(F.col("c_nationkey"), F.col("c_acctbal")), 4326).alias("geom")),
+    }
+    at = F.col("geom.parts")[0][0][0]
+    return Q.overlay(layers).select("layer", "id", "geom.srid", at["x"].alias("x"), at["y"].alias("y"))
 
 
 @query("WITH " + _U + " SELECT unit_id, x + dx AS x, y + dy AS y FROM u, (VALUES (0, 0), (1, 0), (1, 1), (0, 1), (0, 0)) t(dx, dy)")
@@ -384,49 +475,74 @@ def dyn_logistic(spark, sf):
     return rounded(S.linspace(spark, 2.5, 4.0, 1000).select("id", D.iterate(F.col("r"), 0.5, 100).alias("x")))
 
 
-@query(_ORBIT.format(n=1000, m=300) + " SELECT id, round(le / 200, 9) AS le FROM o WHERE i = 300")
+STEPS = 10_000
+_END = _ORBIT.format(n=1000, m=STEPS + 100)
+
+
+@query(_END + f" SELECT id, round(le / {STEPS}, 9) AS le FROM o WHERE i = {STEPS + 100}")
 def dyn_lyapunov_direct(spark, sf):
-    return rounded(D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.lyapunov_direct(F.col("r"), 0.5, 200).alias("le")))
+    return rounded(D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.lyapunov_direct(F.col("r"), 0.5, STEPS).alias("le")))
 
 
-@query(_ORBIT.format(n=1000, m=300) + " SELECT id, round(le / 200 / ln(2), 9) AS bits FROM o WHERE i = 300")
+@query(_END + f" SELECT id, round(le / {STEPS} / ln(2), 9) AS bits FROM o WHERE i = {STEPS + 100}")
 def dyn_lyapunov_bits(spark, sf):
-    return rounded(D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.lyapunov_direct(F.col("r"), 0.5, 200, base2=True).alias("bits")))
+    return rounded(D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.lyapunov_direct(F.col("r"), 0.5, STEPS, base2=True).alias("bits")))
 
 
-@query(_ORBIT.format(n=1000, m=300) + " SELECT id, round(bits / 200, 9) AS le FROM o WHERE i = 300")
+@query(_END + f" SELECT id, round(bits / {STEPS}, 9) AS le FROM o WHERE i = {STEPS + 100}")
 def dyn_lyapunov_derivative(spark, sf):
-    return rounded(D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.lyapunov_derivative(F.col("r"), 0.5, 200).alias("le")))
+    return rounded(D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.lyapunov_derivative(F.col("r"), 0.5, STEPS).alias("le")))
 
 
-@query(_ORBIT.format(n=1000, m=10100) + " SELECT id, round(r, 9) AS r, round(le / 10000, 9) AS le FROM o WHERE i = 10100")
+def _sweep(spark: SparkSession) -> DataFrame:
+    return D.sweep(S.linspace(spark, 2.5, 4.0, 1000), 0.5, STEPS)
+
+
+@query(_END + f", e AS (SELECT id, round(r, 9) AS r, round(le / {STEPS}, 9) AS le FROM o WHERE i = {STEPS + 100}), t AS (SELECT id, count(*) AS n, round(sum(x), 6) AS total, round(min(x), 9) AS lowest, round(max(x), 9) AS highest FROM o WHERE i > {STEPS - 200} GROUP BY id) SELECT e.id, r, le, CAST(n AS INTEGER) AS n, total, lowest, highest FROM e JOIN t ON e.id = t.id")
 def dyn_lyapunov_sweep(spark, sf):
-    r = F.col("r")
-    return rounded(D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", "r", D.lyapunov_direct(r, 0.5, 10_000).alias("le")))
+    """Exponent and tail of each parameter, from one pass; the tail as its size, sum and limits."""
+    t = F.col("tail")
+    shown = _sweep(spark).select("id", "r", "le", F.size(t).alias("n"), F.round(F.aggregate(t, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.array_min(t).alias("lowest"), F.array_max(t).alias("highest"))
+    return rounded(shown)
 
 
-@query(_ORBIT.format(n=1000, m=1100) + " SELECT id, CAST(i - 801 AS INTEGER) AS step, round(x, 9) AS x FROM o WHERE i > 800")
+@query(_END + f" SELECT id, CAST(i - {STEPS - 200} - 1 AS INTEGER) AS step, round(x, 9) AS x FROM o WHERE i > {STEPS - 200}")
 def dyn_bifurcation(spark, sf):
-    swept = D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", "r", D.tail(F.col("r"), 0.5, 1000).alias("tail"))
+    swept = D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", "r", D.tail(F.col("r"), 0.5, STEPS).alias("tail"))
     return rounded(D.bifurcation(swept).select("id", "step", "x"))
 
 
-@query(_ORBIT.format(n=1000, m=300) + " SELECT id, CASE WHEN le > 0 THEN 'diverges' WHEN le < 0 THEN 'converges' ELSE 'neutral' END AS sign FROM o WHERE i = 300")
+@query(_END + f" SELECT id, CASE WHEN le > 0 THEN 'diverges' WHEN le < 0 THEN 'converges' ELSE 'neutral' END AS sign FROM o WHERE i = {STEPS + 100}")
 def dyn_classify(spark, sf):
-    return D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.sign_class(D.lyapunov_direct(F.col("r"), 0.5, 200)).alias("sign"))
+    return D.spread(S.linspace(spark, 2.5, 4.0, 1000)).select("id", D.sign_class(D.lyapunov_direct(F.col("r"), 0.5, STEPS)).alias("sign"))
 
 
-@query()
+@query("SELECT id, round(ln(0.3), 9) AS total, 'dissipative' AS kind FROM range(32) t(id)")
 def dyn_spectrum_qr(spark, sf):
+    """Spectra of Henon maps. Their Jacobian's determinant is -b everywhere, so a spectrum's sum is ln b."""
     grid = spark.range(32).select("id", (F.lit(1.0) + F.col("id") * 0.0125).alias("a"), F.lit(0.3).alias("b"))
     got = D.spectrum_qr(D.spread(grid))
-    return got.select("id", "spectrum", D.sum_class(F.col("spectrum")).alias("kind"), D.fractal_dimension(F.col("spectrum")).alias("dimension"))
+    return got.select("id", F.round(F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x), 9).alias("total"), D.sum_class(F.col("spectrum")).alias("kind"))
+
+
+@query("SELECT * FROM (VALUES (0, 'conservative', 2.0), (1, 'dissipative', 2.0 + 0.9 / 14.5), (2, 'chaotic', 2.0), (3, 'dissipative', 0.0), (4, 'dissipative', 1 + 0.4 / 1.6)) t(id, kind, dimension)")
+def dyn_spectrum_classes(spark, sf):
+    spectra = spark.createDataFrame([(0, [0.5, -0.5]), (1, [0.9, 0.0, -14.5]), (2, [0.5, 0.25]), (3, [-0.1, -0.2]), (4, [0.4, -1.6])], "id int, s array<double>")
+    return spectra.select("id", D.sum_class(F.col("s")).alias("kind"), F.round(D.fractal_dimension(F.col("s")), 9).cast("double").alias("dimension"))
+
+
+def _series(spark: SparkSession) -> DataFrame:
+    return S.linspace(spark, 3.6, 4.0, 16).select("id", D.tail(F.col("r"), 0.3, 600, last=500).alias("xs"))
 
 
 @query()
 def dyn_rosenstein(spark, sf):
-    series = S.linspace(spark, 3.6, 4.0, 16).select("id", D.tail(F.col("r"), 0.3, 600, last=500).alias("xs"))
-    return D.largest_rosenstein(D.spread(series))
+    return D.largest_rosenstein(D.spread(_series(spark)))
+
+
+@query()
+def dyn_wolf(spark, sf):
+    return D.largest_wolf(D.spread(_series(spark)))
 
 
 # linear algebra
@@ -450,32 +566,99 @@ def la_matmul(spark, sf):
     return rounded(L.matmul(m, L.transpose(m)), 6)
 
 
-@query()
+_G = "WITH RECURSIVE " + _X + ", g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.j, b.j), rows AS (SELECT list(l ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS l FROM g GROUP BY i)), p(step, v) AS (SELECT 0, list_transform(range(len(m)), lambda k: CAST(1 AS DOUBLE)) FROM rows UNION ALL SELECT step + 1, list_transform(w, lambda e: e / sqrt(list_inner_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM p, rows WHERE step < 100))"
+
+
+@query(_G + " SELECT CAST(unnest(range(len(v))) AS INTEGER) AS place, round(CASE WHEN list_sum(v) < 0 THEN -1 ELSE 1 END * unnest(v), 6) AS v FROM p WHERE step = 100")
+def la_power_method(spark, sf):
+    return rounded(L.power_method(_vectors(spark, sf)), 6)
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns of a whole table: small enough for closed forms in SQL."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("x"))
+
+
+_P = "x AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS a, p_retailprice / 100 AS b FROM part)"
+_EIGEN = """, e AS (SELECT *, (aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + ab * ab) AS l1, aa * bb - ab * ab AS det FROM g),
+f AS (SELECT *, det / l1 AS l2, ab / sqrt(ab * ab + pow(l1 - aa, 2)) AS c, (l1 - aa) / sqrt(ab * ab + pow(l1 - aa, 2)) AS s FROM e)"""
+_P2 = "WITH " + _P + ", g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM x)" + _EIGEN
+
+
+@query(_P2 + " SELECT CAST(0 AS INTEGER) AS place, round(sqrt(l1), 6) AS s FROM f UNION ALL SELECT 1, round(sqrt(l2), 6) FROM f")
 def la_svd_values(spark, sf):
-    return L.singular_values(_vectors(spark, sf))
+    return rounded(L.singular_values(_pairs(spark, sf)), 6)
 
 
-@query()
+@query("WITH " + _X + ", g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.j, b.j), t AS (SELECT sum(v) FILTER (WHERE i = j) AS one, sum(v * v) AS two FROM g), h AS (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j), u AS (SELECT sum(h.v * g.v) AS three FROM h JOIN g ON h.i = g.j AND h.j = g.i) SELECT round(one, 4) AS one, round(two / one, 4) AS two, round(three / two, 4) AS three FROM t, u")
+def la_svd_moments(spark, sf):
+    """Of all singular values of the vectors: sums of their 2nd, 4th and 6th powers (the last two as ratios)."""
+    s, p = L.singular_values(_vectors(spark, sf)), lambda n: F.sum(F.pow("s", F.lit(n)))
+    return s.agg(F.round(p(2), 4).alias("one"), F.round(p(4) / p(2), 4).alias("two"), F.round(p(6) / p(4), 4).alias("three"))
+
+
+@query(_G + ", w AS (SELECT list_transform(m, lambda r: list_inner_product(r, v)) AS w, v FROM p, rows WHERE step = 100) SELECT CAST(0 AS INTEGER) AS place, round(sqrt(list_inner_product(w, v)), 6) AS s FROM w")
 def la_topk_singular(spark, sf):
-    return L.singular_values(_vectors(spark, sf), 8)
+    """The largest singular value of the vectors."""
+    return rounded(L.singular_values(_vectors(spark, sf), 1), 6)
 
 
-@query()
+@query("SELECT a.r_regionkey AS i, b.j AS j, CAST(CASE WHEN a.r_regionkey = b.j THEN 1 ELSE 0 END AS DOUBLE) AS uut, CAST(CASE WHEN j < 3 THEN CASE j WHEN 0 THEN r_regionkey + 1 WHEN 1 THEN r_regionkey * r_regionkey ELSE length(r_name) END END AS DOUBLE) AS x, CAST(CASE WHEN i < 3 AND j < 3 THEN CASE WHEN i = j THEN 1 ELSE 0 END END AS DOUBLE) AS vvt FROM (SELECT *, r_regionkey AS i FROM region) a, (SELECT CAST(unnest(range(5)) AS INTEGER) AS j) b")
+def la_svd_full(spark, sf):
+    """Whole bases of a small matrix: both are orthogonal, and the factors give the matrix back."""
+    rows = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.array(F.col("r_regionkey") + 1, F.col("r_regionkey") * F.col("r_regionkey"), F.length("r_name")).cast("array<double>").alias("x"))
+    u, s, v = L.svd_full(rows)
+    back, m, n = (u[:, : len(s)] * s) @ v[:, : len(s)].T, len(u), len(v)
+    uut, vvt = u @ u.T, v @ v.T
+    at = lambda a, i, j: float(round(a[i, j], 9)) + 0.0 if i < a.shape[0] and j < a.shape[1] else None
+    out = [(i, j, at(uut, i, j), at(back, i, j) if j < n else None, at(vvt, i, j)) for i in range(m) for j in range(m)]
+    return spark.createDataFrame(out, "i int, j int, uut double, x double, vvt double")
+
+
+@query(_P2 + " SELECT id, round(1000 * (bb * a - ab * b) / det, 9) AS p0, round(1000 * (aa * b - ab * a) / det, 9) AS p1 FROM x, f")
 def la_pinv(spark, sf):
-    return L.pseudo_inverse(_vectors(spark, sf), mode="corrected")
+    """The pseudo-inverse of a tall matrix, in thousandths."""
+    got = L.pseudo_inverse(_pairs(spark, sf))
+    return got.select("id", F.round(F.col("p")[0] * 1000, 9).alias("p0"), F.round(F.col("p")[1] * 1000, 9).alias("p1"))
 
 
-@query()
+@query("WITH " + _X + " SELECT vec_id AS id, j, round(v, 6) AS v FROM x")
+def la_pinv_vectors(spark, sf):
+    """X (X+ X) for the vectors, which is X again."""
+    x = _vectors(spark, sf)
+    both = L.pseudo_inverse(x, "corrected").join(x, "id")
+    n = L.columns_of(x)
+    px = L._matrix(L._reduced(both.select(F.concat("p", "x").alias("x")), lambda m: m[:, :n].T @ m[:, n:], L._products), n)
+    return rounded(L.times(x, px).select("id", F.posexplode("y").alias("j", "v")), 6)
+
+
+@query("SELECT * FROM (VALUES ('singular', 0, -23 / 36, -1 / 18, 19 / 36), ('singular', 1, -1 / 6, 0.0, 1 / 6), ('singular', 2, 11 / 36, 1 / 18, -7 / 36), ('wide', 0, 17 / 60, 1 / 15, 1 / 12), ('wide', 1, -7 / 60, 4 / 15, 1 / 12)) t(name, i, a, b, c)".replace("SELECT *", "SELECT name, CAST(i AS BIGINT) AS i, round(CAST(a AS DOUBLE), 9) AS a, round(CAST(b AS DOUBLE), 9) AS b, round(CAST(c AS DOUBLE), 9) AS c"))
+def la_pinv_singular_wide(spark, sf):
+    """A singular matrix (corrected) and a wide one (compat), with their exact inverses in fractions."""
+    parts = [("singular", [[1, 2, 3], [4, 5, 6], [7, 8, 9]], "corrected"), ("wide", [[3, 1, 1], [-1, 3, 1]], "compat")]
+    made = [L.pseudo_inverse(S.literal(spark, m), mode).select(F.lit(name).alias("name"), F.col("id").alias("i"), *[(F.round(F.col("p")[k], 9) + 0.0).alias("abc"[k]) for k in range(3)]) for name, m, mode in parts]
+    return made[0].unionByName(made[1])
+
+
+RANKS = [1, 2, 4, 8, 16, 32, 64, 128]
+
+
+@query(_P2 + f" SELECT CAST(k AS INTEGER) AS k, id, round(a, 6) AS x0, round(b, 6) AS x1, round(CASE WHEN k = 1 THEN (a * c + b * s) * c ELSE a END, 6) AS y0, round(CASE WHEN k = 1 THEN (a * c + b * s) * s ELSE b END, 6) AS y1 FROM x, f, (SELECT unnest({RANKS}) AS k)")
 def la_rank_k(spark, sf):
-    return L.rank_k(_vectors(spark, sf), [2, 4, 8, 16, 32, 64])
+    """The best approximations of a matrix of two columns, the original beside them."""
+    got = L.rank_k(_pairs(spark, sf), RANKS)
+    return rounded(got.select("k", "id", *[F.col(c)[j].alias(f"{c}{j}") for c in "xy" for j in range(2)]), 6)
 
 
-_G = "WITH RECURSIVE " + _X + ", g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.j, b.j), rows AS (SELECT list(l ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS l FROM g GROUP BY i)), p(step, v) AS (SELECT 0, list_transform(range(len(m)), lambda k: CAST(1 AS DOUBLE)) FROM rows UNION ALL SELECT step + 1, list_transform(w, lambda e: e / sqrt(list_inner_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM p, rows WHERE step < 100))"
+@query("WITH " + _X + f" SELECT CAST(k AS INTEGER) AS k, vec_id AS id, j, round(v, 5) AS y FROM x, (SELECT unnest([64, 128]) AS k)")
+def la_rank_k_vectors(spark, sf):
+    """From the rank of the whole on, the approximation is the matrix."""
+    return rounded(L.rank_k(_vectors(spark, sf), [64, 128]).select("k", "id", F.posexplode("y").alias("j", "y")), 5)
 
 
-@query(_G + " SELECT CAST(unnest(range(len(v))) AS INTEGER) AS place, round(CASE WHEN list_sum(v) < 0 THEN -1 ELSE 1 END * unnest(v), 6) AS v FROM p WHERE step = 100")
-def la_power_method(spark, sf):
-    return rounded(L.power_method(_vectors(spark, sf)), 6)
+@query("WITH " + _P + ", g AS (SELECT var_samp(a) AS aa, covar_samp(a, b) AS ab, var_samp(b) AS bb, avg(a) AS ma, avg(b) AS mb FROM x)" + _EIGEN + ", w AS (SELECT *, CASE WHEN c + s >= 0 THEN 1 ELSE -1 END AS g1, CASE WHEN c - s >= 0 THEN 1 ELSE -1 END AS g2 FROM f) SELECT id, round(g1 * ((a - ma) * c + (b - mb) * s), 6) AS y0, round(g2 * ((b - mb) * c - (a - ma) * s), 6) AS y1 FROM x, w")
+def la_pca(spark, sf):
+    return rounded(L.pca(_pairs(spark, sf), 2)[0].select("id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1")), 6)
 
 
 @query("SELECT 0 AS place, round(regr_intercept(l_extendedprice, l_quantity), 3) AS b FROM lineitem UNION ALL SELECT 1, round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem")
@@ -484,22 +667,22 @@ def la_least_squares(spark, sf):
     return rounded(L.least_squares(rows), 3)
 
 
-@query()
-def la_pca(spark, sf):
-    return L.pca(_vectors(spark, sf), 4)[0]
-
-
 @query()
 def la_mixture(spark, sf):
     return L.clusters(L.pca(_vectors(spark, sf), 4)[0], 4)
 
 
-@query()
+_RANK = "WITH t AS MATERIALIZED (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL), r0 AS (SELECT DISTINCT doc_id, CAST(1 AS DOUBLE) AS w FROM t)" + "".join(
+    f", s{i} AS MATERIALIZED (SELECT term, sum(n * w) AS w FROM t JOIN r{i - 1} USING (doc_id) GROUP BY term), r{i} AS MATERIALIZED (SELECT doc_id, sum(n * s{i}.w) AS w FROM t JOIN s{i} USING (term) GROUP BY doc_id)" for i in range(1, 6)
+)
+
+
+@query(_RANK + " SELECT doc_id, round(coalesce(w / (SELECT sqrt(sum(w * w)) FROM r5), 0), 9) AS rank FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN r5 USING (doc_id)")
 def la_doc_rank(spark, sf):
-    return L.document_ranking(table(spark, sf, "documents"))
+    return rounded(L.document_ranking(table(spark, sf, "documents")))
 
 
-@query()
+@query("SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, round(0.2125 * (o + 2) + 0.7154 * (o + 1) + 0.0721 * o, 6) AS gray FROM (SELECT r, c, (3 - r) * 12 + c * 3 AS o FROM range(4) a(r), range(4) b(c))")
 def src_pixels(spark, sf):
     """A small image written and read by Spark's image source, in gray."""
     path = scratch(spark)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,19 +39,23 @@ def geometry_of() -> F.Column:
         .when(kind == "MultiPolygon", F.transform(cast("array<array<array<array<double>>>>"), rings))
         .when(kind == "Point", F.array(F.array(F.array(F.struct(point[0].alias("x"), point[1].alias("y"))))))
     )
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.lit(4326).alias("srid"), parts.cast(f"array<array<array<{VERTEX}>>>").alias("parts")))
+    wrong = F.raise_error(F.concat(F.lit("geometry type not supported: "), kind)).cast("boolean")
+    fine = F.when(kind.isin("Polygon", "MultiPolygon", "Point"), F.lit(True)).otherwise(wrong)
+    return F.when(kind.isNotNull() & fine, F.struct(kind.alias("kind"), F.lit(4326).alias("srid"), parts.cast(f"array<array<array<{VERTEX}>>>").alias("parts")))
 
 
 def features(df: DataFrame, properties: list[str], geom: str = "geom") -> DataFrame:
     """``value``: one GeoJSON feature of each row. Missing properties are left out; NaN and infinities become text."""
     ring = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))
-    parts = F.transform(F.col(geom)["parts"], lambda part: F.transform(part, ring))
-    shape = F.when(
-        F.col(geom).isNotNull(),
-        F.when(F.col(geom)["kind"] == "Polygon", F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(parts[0]), F.lit("}")))
-        .when(F.col(geom)["kind"] == "Point", F.concat(F.lit('{"type":"Point","coordinates":'), F.to_json(ring(parts[0][0].cast(f"array<{VERTEX}>"))[0]) if False else F.to_json(F.array(F.col(geom)["parts"][0][0][0]["x"], F.col(geom)["parts"][0][0][0]["y"])), F.lit("}")))
-        .otherwise(F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(parts), F.lit("}"))),
-    ).otherwise(F.lit("null"))
+    g, kind = F.col(geom), F.col(geom)["kind"]
+    parts = F.transform(g["parts"], lambda part: F.transform(part, ring))
+    coordinates = (
+        F.when(kind == "Polygon", F.to_json(parts[0]))
+        .when(kind == "MultiPolygon", F.to_json(parts))
+        .when(kind == "Point", F.to_json(parts[0][0][0]))
+        .otherwise(F.raise_error(F.concat(F.lit("geometry kind not supported: "), F.coalesce(kind, F.lit("none")))))
+    )
+    shape = F.when(g.isNotNull(), F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}"))).otherwise(F.lit("null"))
     return df.select(F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*properties)), F.lit(',"geometry":'), shape, F.lit("}")).alias("value"))
 
 
@@ -65,6 +72,16 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def read_csv_text(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """A file read without types: all columns are text until ``numbers`` casts some."""
+    return read_csv(spark, path, ", ".join(f"`{n}` string" for n in names))
+
+
+def numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    """Casts text columns to doubles; text that is no number becomes null."""
+    return df.withColumns({n: F.col(f"`{n}`").try_cast("double") for n in names})
+
+
 def read_csv_promote_header(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """A file whose first line is a title: its second line is the header and the last one a footer. All columns are text.
 
@@ -82,10 +99,37 @@ def read_csv_promote_header(spark: SparkSession, path: str, names: list[str]) ->
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     """``row, col, r, g, b`` of every pixel of the images Spark's reader understands."""
-    image = spark.read.format("image").load(path).select("image.*")
-    cells = image.select("width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("i"))
-    value = lambda c: F.conv(F.hex(F.substring(F.col("data"), (F.col("i") * F.col("nChannels") + c + 1).cast("int"), F.lit(1))), 16, 10).cast("double")
-    return cells.select(F.floor(F.col("i") / F.col("width")).alias("row"), (F.col("i") % F.col("width")).alias("col"), value(2).alias("r"), value(1).alias("g"), value(0).alias("b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for height, width, channels, data in batch.itertuples(index=False):
+                cells = np.frombuffer(data, np.uint8).reshape(height * width, channels).astype(float)
+                at = np.arange(height * width)
+                blue, green, red = (cells[:, c % channels] for c in range(3))  # gray images have one channel
+                yield pd.DataFrame({"row": at // width, "col": at % width, "r": red, "g": green, "b": blue})
+
+    image = spark.read.format("image").load(path).select("image.height", "image.width", "image.nChannels", "image.data")
+    return image.mapInPandas(run, "row bigint, col bigint, r double, g double, b double")
+
+
+def literal(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
+    """``id, x`` of a small matrix written out."""
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id bigint, x array<double>")
+
+
+def zeros(spark: SparkSession, n_rows: int, n_columns: int) -> DataFrame:
+    """``id, x``: rows of zeros."""
+    return spark.range(n_rows).select("id", F.array_repeat(F.lit(0.0), n_columns).alias("x"))
+
+
+def write_frames(frames: DataFrame, path: str) -> None:
+    """A folder for each ``frame_k``, so that one frame is read without the others."""
+    frames.write.mode("overwrite").partitionBy("frame_k").parquet(path)
+
+
+def read_frame(spark: SparkSession, path: str, schema: str, k: int) -> DataFrame:
+    """One frame of those that ``write_frames`` wrote; only its folder is read."""
+    return spark.read.schema(f"{schema}, frame_k int").parquet(path).filter(F.col("frame_k") == k)
 
 
 def linspace(spark: SparkSession, first: float, last: float, n: int) -> DataFrame:
