@@ -3,42 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept as cut
+from ..session import scratch, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Clusters name it in ``spark.checkpoint.dir``; only where that is unset (unit tests on one
-    machine) a temporary folder is made and set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="gridloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame) -> DataFrame:
     """Write to a Parquet table in the shared folder (column-compressed, smaller than a checkpoint) and read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,3 +36,6 @@ def drop_stored(df: DataFrame) -> None:
 def crc_mod(column: str, modulus: int) -> F.Column:
     """crc32 of the decimal text of a key, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+
+
+__all__ = ["crc_mod", "cut", "drop_stored", "store", "table"]
