@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Fit (on a bounded labelled sample). Words and their first 4 and 6 characters are counted once per document in toxic
-and other documents; near copies count once (documents that share the smallest shingle hash). A nested Dirichlet
+and other documents; near copies (documents that share the smallest shingle hash) share the weight of one. A nested Dirichlet
 prior shrinks a word's rate to its 6-character beginning's, that to the 4-character beginning's, that to the corpus
 rate. A word keeps its log-odds if they stand out (``Z``); a beginning stands for words not seen before if nearly all
 of its documents are toxic (``PURE``). All other words score ``-DRIFT``, so scores have a negative mean.
@@ -32,6 +32,8 @@ from .common import crc_mod, drop_stored, store
 from .sample import SAMPLE_ROWS, labelled_sample
 
 PRIOR, Z, PURE, SUPPORT, DRIFT = 5.0, 3.0, 0.8, 4, 0.05
+#: The fit looks at so many words and beginnings at most, those in most toxic documents of the sample.
+VOCABULARY = 500_000
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 _ABC = K.alphabet("ascii")
@@ -58,7 +60,7 @@ def features(texts: K.Texts) -> tuple[K.Words, np.ndarray]:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """``level, feature, parent, toxic, other``: documents with each feature."""
+    """``level, feature, parent, toxic, other``: weights of the documents with each feature."""
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,23 +75,24 @@ def _counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, texts in K.chunks(batch, "text"):
                 w, f = features(texts)
-                label = rows.column(1).to_numpy()
+                label, weight = rows.column(1).to_numpy(), rows.column(3).to_numpy()
                 for level in range(3):
                     h, o = K.distinct_by_text(f[level], w.text, len(texts))
-                    toxic = np.repeat(label, np.diff(o))
+                    each, toxic = np.repeat(weight, np.diff(o)), np.repeat(label * weight, np.diff(o))
                     _, at = np.unique(f[level], return_index=True)
                     up = dict(zip(f[level][at].tolist(), (f[level - 1] if level else np.zeros_like(f[0]))[at].tolist()))
                     keys, back = np.unique(h, return_inverse=True)
-                    n, t = np.bincount(back, minlength=len(keys)), np.bincount(back, weights=toxic, minlength=len(keys)).astype(np.int64)
+                    n, t = (np.bincount(back, weights=x, minlength=len(keys)) for x in (each, toxic))
                     parent = np.array([up[k] for k in keys.tolist()], np.uint64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(keys), level, np.int32)), pa.array(keys.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(t), pa.array(n - t)],
                         names=["level", "feature", "parent", "toxic", "other"],
                     )
 
-    kept = sample.select("doc_id", "text").mapInArrow(copies, "doc_id bigint, least bigint").groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    once = sample.join(F.broadcast(kept), "doc_id", "left_semi").select("doc_id", "label", "text")
-    rows = once.mapInArrow(count, "level int, feature bigint, parent bigint, toxic bigint, other bigint")
+    least = sample.select("doc_id", "text").mapInArrow(copies, f"doc_id {dict(sample.dtypes)['doc_id']}, least bigint")
+    weights = least.join(least.groupBy("least").agg((1 / F.count(F.lit(1))).alias("weight")), "least").select("doc_id", "weight")
+    weighted = sample.join(weights, "doc_id").select("doc_id", "label", "text", "weight")  # the sample has an id once
+    rows = weighted.mapInArrow(count, "level int, feature bigint, parent bigint, toxic double, other double")
     return rows.groupBy("level", "feature").agg(F.min("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -113,23 +116,26 @@ def log_odds(rows: list, base: float) -> dict[int, float]:
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, end, score), by Ruzzo and Tompa's linear scan."""
-    found: list[list] = []  # [first, end, sum before, sum through]
+    """All maximal-scoring segments (first, end, score), by Ruzzo and Tompa's linear scan.
+
+    An open segment links to the last one before it that starts from a smaller sum; the search for a later one's link
+    follows those links and passes each open segment once, so the scan is linear.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum through, link
     total = 0.0
     for i, s in enumerate(scores):
         if s > 0:
-            now = [i, i + 1, total, total + s]
-            while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][2] >= now[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= now[3]:
-                    found.append(now)
-                    break
-                now = [found[j][0], now[1], found[j][2], now[3]]
+            first, before, through = i, total, total + s
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            while j >= 0 and found[j][3] < through:  # joined with all from there on
+                first, _, before, _, link = found[j]
                 del found[j:]
+                j = link
+            found.append((first, i + 1, before, through, j))
         total += s
-    return [(a, b, d - c) for a, b, c, d in found]
+    return [(a, b, d - c) for a, b, c, d, _ in found]
 
 
 def token_scores(f: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -192,7 +198,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mod
     if not toxic or not other:
         return empty
     base = toxic / (toxic + other)
-    table = _counts(sample).filter(F.col("toxic") >= SUPPORT).collect()  # bounded by the sample
+    table = _counts(sample).filter(F.col("toxic") >= SUPPORT).orderBy(F.desc("toxic"), "level", "feature").limit(VOCABULARY).collect()
     odds = log_odds([tuple(r) for r in table], base)
     if not odds:
         return empty
