@@ -8,7 +8,7 @@ from gridloom.llm import linededup as L
 
 def brute(rows, ratio, least):
     pages, has = Counter(), Counter()
-    for _, h, t in rows:
+    for h, t in {(h or "", t) for _, h, t in rows if t is not None}:
         pages[h or ""] += 1
         has.update({(h or "", x.strip(" ")) for x in (t or "").split("\n") if x.strip(" ")})
     bad = {k for k, n in has.items() if n >= least and n > ratio * pages[k[0]]}
@@ -24,13 +24,15 @@ def rows():
     rnd = random.Random(2)
     lines = [f"line {i}" for i in range(30)] + ["", "  ", "Menu ", "Menu", "é"]
     out = [(i, rnd.choice(["a", "a", "b", None, ""]), "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 8)))) for i in range(120)]
+    out += [(600 + i, "b", "a copied line\nanother") for i in range(90)]  # copies count once
     return out + [(500, "a", None), (501, "b", ""), (3, "a", out[3][2]), (502, "a", "Menu\n" * 500)]
 
 
 def run(spark, data, **kw):
-    df = spark.createDataFrame([(d, h, t, 1) for d, h, t in data], "doc_id bigint, source string, text string, _x int")
+    names = ["_x", "_bad", "_at", "_row", "_host", "_line", "_key", "_way", "_page", "_text", "n_lines"]
+    df = spark.createDataFrame([(d, h, t, *[1] * len(names)) for d, h, t in data], "doc_id bigint, source string, text string, " + ", ".join(f"{c} int" for c in names))
     got = L.drop_boilerplate(df, **kw)
-    assert "_x" in got.columns
+    assert set(got.columns) == {*df.columns, "n_dropped"}
     return sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()], key=str)
 
 
