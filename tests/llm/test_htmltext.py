@@ -1,3 +1,6 @@
+import re
+import time
+
 from gridloom.llm import htmltext as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -14,7 +17,10 @@ WANT = "Head line\n\nFirst <b> bold text next\n\nSecond! link & more text that i
 def test_scan_and_text():
     page = H.scan(PAGE % 7)
     assert H.text_of(page, page.paths[H.best(page)]) == WANT
-    assert page.paths[H.best(page)].startswith("#>body>div.page.post>div.content")
+    path = 0
+    for label in ("body", "div.page.post", "div.content"):
+        path = H.step(path, label)
+    assert page.paths[H.best(page)] == path
     for odd in ("", "<", "<p", "a &am b", "<b>x", "</p></div>", "<!-- x", "<script>x"):
         H.text_of(H.scan(odd), None)
     assert H.text_of(H.scan("<p>&am &amp &bogus;x</p>"), None) == "&am & &bogus;x"
@@ -26,6 +32,41 @@ def test_deep_and_long_pages():
     assert len(H.text_of(H.scan("<article>" + "<p>word word</p>" * 20000), None)) == 20000 * 11 - 2
 
 
+def test_broken_markup_takes_linear_time():
+    for unit in ("<a title=\"foo>bar</a> ", "<a ", "<p class='x>y", "<!", "</", "<div>", "</b>", "<b><h1>x", "<p><li>x", "<svg>", "<!-- ", "= '", "<td><div class='ad'>", "<form>x"):
+        spent = []
+        for n in (4_000, 16_000):
+            began = time.process_time()
+            H.text_of(H.scan(unit * n), None)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 10 * spent[0] + 0.3, (unit, spent)
+    assert H.text_of(H.scan('<p>a <a title="foo>bar</a> b</p>'), None) == "a bar b"
+    assert H.text_of(H.scan("<p>don't <b x='>'>this</b> 1 < 2"), None) == "don't this 1 < 2"
+
+
+def brute_votes(rows):
+    """The winning path of each host, counted in plain Python."""
+    host = lambda u: m[1].lower() if (m := re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", u or "")) else ""
+    n = {}
+    for _, url, source in rows:
+        page = H.scan(source or "")
+        if page.blocks:
+            i = H.best(page)
+            n.setdefault(host(url), {}).setdefault(page.paths[i], []).append(H.scores(page)[i])
+    return {h: max(v, key=lambda p: (len(v[p]), round(sum(v[p]), 3), p)) for h, v in n.items()}, host
+
+
+def test_whole_table_against_brute_force_votes(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    tie = "<body><div class='a'><p>" + "x " * 40 + "</p></div><div class='b'><p>%s</p></div>"
+    rows += [(900, "http://tie/1", tie % "y"), (901, "http://tie/2", tie % ("y " * 90))]
+    won, host = brute_votes(rows)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.host: r.path for r in H.winners(df).collect()} == won
+    want = {(i, H.text_of(H.scan(h or ""), won.get(host(u)))) for i, u, h in rows}
+    assert {(r.page_id, r.text) for r in H.extract(df).collect()} == want
+
+
 def test_consensus_overrules_a_page(spark):
     odd = PAGE % 3 + '<div class="links">' + "<p>long other text without any links at all in it</p>" * 9 + "</div>"
     rows = [(i, f"https://User@A.example:80/{i}", PAGE % i, "x") for i in range(6)] + [(6, "http://a.example/6?x", odd, "x"), (7, "http://b.example/", odd, "x")]
@@ -83,4 +124,8 @@ def test_names_and_forms_that_hold_the_text():
     for name in ("ad-box", "site-header", "main-nav", "sidebar left", "cookie-notice", "post_comments", "share-buttons"):
         assert read(f"<p>{story}</p><div class='{name}'>junk</div>") == story, name
     assert read(f"<p>{story}</p><form>Name <input></form><form class='search-form'>Find</form>") == story
+    for opened in ("<body class='single-post with-sidebar'>", "<body class='page search-page'>", "<div class='article-share-wrap'>", "<div class='post no-comments'>", "<form><div>", "<div class='widget'><div class='comments'>"):
+        assert read(f"{opened}<p>{story}</p><div class='comments'><p>{more}</p></div>") == story, opened
+    deep = "<div class='c%s'>" * 12 % tuple("abcdefghijkl")
+    assert H.best(H.scan(deep + f"<p>{story}</p>")) == 12 and H.scan(deep).paths[-1] != H.scan(deep.replace("'ca'", "'cz'")).paths[-1]
     assert read("<nav>menu</nav>") == ""
