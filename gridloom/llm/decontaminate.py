@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import store
+from .common import drop_stored, store
 
 WINDOW = 10
 GROUP_WORDS = 2_000_000
@@ -69,8 +70,21 @@ def build_index(documents: DataFrame, text: str = "text", key: str = "doc_id") -
     return chosen.mapInArrow(index, INDEX_SCHEMA)
 
 
-def test_windows(ids: list, texts: list[str | None], size: int = WINDOW) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By window length: the hashes (windows x length) and the number of each window's item."""
+class Windows(NamedTuple):
+    """Windows of one length: their terms (numbers of the test set's terms) and items, in the order of their rarest terms."""
+
+    terms: np.ndarray  # windows x length
+    items: np.ndarray
+    first: np.ndarray  # for each term: the first window of which it is the rarest; one more at the end
+
+
+class TestSet(NamedTuple):
+    vocabulary: np.ndarray  # sorted hashes of the distinct terms
+    windows: dict[int, Windows]
+
+
+def test_windows(ids: list, texts: list[str | None], size: int = WINDOW) -> TestSet:
+    """The windows of a test set, by their length; items are numbered as they come."""
     abc = K.alphabet("ascii")
     found: dict[int, tuple[list, list]] = {}
     for i, one in enumerate(texts):
@@ -83,8 +97,17 @@ def test_windows(ids: list, texts: list[str | None], size: int = WINDOW) -> dict
         cut = np.lib.stride_tricks.sliding_window_view(h, n)
         rows, of = found.setdefault(n, ([], []))
         rows.append(cut)
-        of.append(np.full(len(cut), i))
-    return {n: (np.concatenate(rows), np.concatenate(of)) for n, (rows, of) in found.items()}
+        of.append(np.full(len(cut), i, np.int32))
+    joined = {n: (np.concatenate(rows), np.concatenate(of)) for n, (rows, of) in found.items()}
+    flat = np.concatenate([np.empty(0, np.uint64), *[rows.ravel() for rows, _ in joined.values()]])
+    vocabulary, times = np.unique(flat, return_counts=True)
+    out = {}
+    for n, (rows, of) in joined.items():
+        terms = np.searchsorted(vocabulary, rows).astype(np.int32)
+        rarest = terms[np.arange(len(terms)), times[terms].argmin(1)]
+        order = np.argsort(rarest, kind="stable")
+        out[n] = Windows(terms[order], of[order], np.searchsorted(rarest[order], np.arange(len(vocabulary) + 1)))
+    return TestSet(vocabulary, out)
 
 
 def _intersect(lists: list[np.ndarray], offsets: np.ndarray, slop: int) -> np.ndarray:
@@ -111,7 +134,7 @@ def _merge(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[heads], np.maximum.reduceat(reach, heads)
 
 
-def search_block(block: dict, windows: dict[int, tuple[np.ndarray, np.ndarray]], slop: int) -> list[tuple[list, set, set]]:
+def search_block(block: dict, tests: TestSet, slop: int) -> list[tuple[list, set, set]]:
     """For each document of a block: merged hit spans, items matched exactly, items matched in proximity."""
     counts = np.asarray(block["doc_words"], np.int64)
     out: list[tuple[list, set, set]] = [([], set(), set()) for _ in counts]
@@ -122,12 +145,23 @@ def search_block(block: dict, windows: dict[int, tuple[np.ndarray, np.ndarray]],
     places = np.cumsum(np.frombuffer(block["steps"], np.int32))
     first_place = np.cumsum(counts) - counts + _GAP * np.arange(len(counts))
     hits: list[tuple[np.ndarray, int]] = []
-    for n, (hashes, of) in windows.items():
-        at = np.searchsorted(terms, hashes)
-        known = (terms[np.minimum(at, len(terms) - 1)] == hashes).all(axis=1)
+    few, many = (terms, tests.vocabulary) if len(terms) < len(tests.vocabulary) else (tests.vocabulary, terms)
+    near_by = np.minimum(np.searchsorted(many, few), max(len(many) - 1, 0))
+    same = many[near_by] == few if len(many) else np.zeros(0, bool)
+    here = np.full(len(tests.vocabulary), -1, np.int64)  # where the block has each term of the test set
+    if len(terms) < len(tests.vocabulary):
+        here[near_by[same]] = np.flatnonzero(same)
+    else:
+        here[same] = near_by[same]
+    present = np.flatnonzero(here >= 0)
+    for n, w in tests.windows.items():
+        size = w.first[present + 1] - w.first[present]
+        rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w.first[present], size)
+        at = here[w.terms[rows]]
+        known = (at >= 0).all(axis=1)
         if not known.any():
             continue
-        at, of = at[known], of[known]
+        at, of = at[known], w.items[rows][known]
         order = np.argsort(starts[at + 1] - starts[at], axis=1, kind="stable")
         for row, by, item in zip(at, order, of):
             lists = [places[starts[t] : starts[t + 1]] for t in row[by]]
@@ -158,10 +192,11 @@ def search(index: DataFrame, items: DataFrame, text: str = "text", key: str = "i
     chosen = items.select(F.col(key).cast("bigint").alias("item_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     chars = chosen.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     groups = max(1, math.ceil(chars / 2 / GROUP_WORDS))
-    spread = chosen.withColumn("group", F.pmod(F.xxhash64("text"), F.lit(groups)))
+    # by id and text: repeated items are spread, so a group has about GROUP_WORDS words, or one longer item more
+    spread = chosen.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
     parts = []
     for g in range(groups):
-        rows = spread.filter(F.col("group") == g).collect()  # at most about GROUP_WORDS words
+        rows = spread.filter(F.col("group") == g).collect()
         parts.append(_search_group(index, [r["item_id"] for r in rows], [r["text"] for r in rows], slop, size))
     if len(parts) == 1:
         return parts[0]
@@ -217,8 +252,8 @@ def hit_words(spans: str = "spans") -> F.Column:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, slop: int = 2) -> DataFrame:
     """Index, search and digest: one row for each row of ``documents``."""
     index = store(build_index(documents))
-    # blocks are a few hundred KB: a batch of few keeps a worker's memory small
-    found = search(index, benchmark, slop=slop)
+    found = store(search(index, benchmark, slop=slop))
+    drop_stored(index)
     texts = F.sort_array(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         "doc_id",
