@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 OVERHEAD = 16
 BLOCKS = 1024
 
@@ -52,7 +54,8 @@ def with_slots(rows: DataFrame, counted: DataFrame, order: Sequence[str], block:
     slot_block = F.pmod(block, F.lit(blocks)).cast("int")
     sizes = counted.groupBy("shard", slot_block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # kept: at most shards x blocks rows, made before the rows that they are joined with
+    starts = cut(sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
     ranked = rows.withColumn("_block", slot_block).withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_block").orderBy(*order)))
     placed = ranked.join(F.broadcast(starts), ["shard", "_block"])
     return placed.withColumn("slot", (F.col("_start") + F.col("_rank") - 1).cast("bigint")).drop("_block", "_rank", "_start")
@@ -60,12 +63,12 @@ def with_slots(rows: DataFrame, counted: DataFrame, order: Sequence[str], block:
 
 def shard_documents(documents: DataFrame, weights: Sequence[float] = (1.0,) * 40, added: float = 1.0, blocks: int = BLOCKS) -> DataFrame:
     """Law ``key``: the id and the shard count decide; one more shard takes rows only into itself."""
-    counted = assign(documents.select("doc_id"), "doc_id", weights)
     text = F.coalesce(F.col("text"), F.lit(""))
     chosen = documents.select(
         "doc_id", (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
     rows = assign(chosen, "doc_id", weights, added)
-    block = F.xxhash64(F.col("doc_id"), F.lit("slot"))
+    counted = assign(chosen.select("doc_id", "text_crc32"), "doc_id", weights)
+    block = F.xxhash64("doc_id", "text_crc32", F.lit("slot"))
     placed = with_slots(rows, counted, ["doc_id", "text_crc32", "size"], block, blocks)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -52,3 +52,13 @@ def test_weights_and_small_moves(spark):
 
 def test_empty(spark):
     assert S.shard_documents(table(spark).limit(0)).count() == 0
+
+
+def test_counts_groups_and_one_frequent_id(spark):
+    df = spark.createDataFrame([(1 if i % 2 else None, f"t{i}" * 3, i) for i in range(600)] + [(2, "x" * 200_000, 1)], "doc_id bigint, text string, shard int")
+    got = S.shard_documents(df, (1.0,) * 5, 1.0, blocks=16)
+    assert got.count() == 601
+    for r in got.groupBy("shard").agg({"slot": "max", "*": "count"}).collect():
+        assert r["max(slot)"] + 1 == r["count(1)"]
+    block = S.F.pmod(S.F.xxhash64("doc_id", S.F.crc32(S.F.col("text").cast("binary")), S.F.lit("slot")), S.F.lit(16))
+    assert max(r["count"] for r in df.filter("doc_id = 1").groupBy(block).count().collect()) < 60
