@@ -93,6 +93,10 @@ def assemble(roles: K.Texts, texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np
     return out, starts, at_text, at_tail
 
 
+#: What the offsets of a string array can count.
+MOST_BYTES = (1 << 31) - 1
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: object = ()
     part = 0
@@ -107,6 +111,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = ids[a]
                 parts.append(part)
                 masks.append([{"first": int(first[i] - starts[a]), "end": int(end[i] - starts[a])} for i in range(a, b) if role[i] == "assistant"])
+            if len(out) > MOST_BYTES:
+                raise ValueError("a turn of more than 2 GiB once its control strings are escaped")
             offsets = starts[cuts].astype(np.int32)
             formatted = pa.Array.from_buffers(pa.utf8(), len(parts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out)])
             yield pa.RecordBatch.from_arrays(
