@@ -19,23 +19,26 @@ from ..session import kept, scratch
 ARRAY_UNITS, ARRAY_PAIRS = 4_096, 100_000
 
 
-def cell_size(units: DataFrame) -> float:
-    """The median of the boxes' longer sides (1 if there is none), so that a box lies in few cells and a cell in few boxes."""
-    box = units.filter("geom IS NOT NULL").select(G.bbox(F.col("geom")).alias("b"))
-    got = box.agg(F.percentile_approx(F.greatest(F.expr("b.xmax - b.xmin"), F.expr("b.ymax - b.ymin")), 0.5, 1000)).first()[0]
-    return got or 1.0
+def _survey(boxed: DataFrame) -> tuple[float, int]:
+    """The median of the boxes' longer sides (1 if there is none), so that a box lies in few cells and a cell in few boxes;
+    and how many units have no geometry."""
+    side = F.greatest(F.expr("shape.box.xmax - shape.box.xmin"), F.expr("shape.box.ymax - shape.box.ymin"))
+    got = boxed.agg(F.percentile_approx(side, 0.5, 1000).alias("side"), F.count_if(F.col("shape").isNull()).alias("lost")).first()
+    return got["side"] or 1.0, got["lost"]
 
 
 def neighbours(units: DataFrame, cell: float | None = None, mode: str = "compat") -> DataFrame:
     """``src, dst`` of units that share a point (``compat``: also each with itself).
 
-    Units are listed in the grid cells their boxes cover (of side ``cell``, in the units of the coordinates; by default that of
-    ``cell_size``); only units of a cell are compared, and a pair is kept in the cell of the lower left corner of the boxes'
+    Units are listed in the grid cells their boxes cover (of side ``cell``, in the units of the coordinates; by default the median
+    of the boxes' longer sides); only units of a cell are compared, and a pair is kept in the cell of the lower left corner of the boxes'
     overlap, so no pair comes twice and no distinct is needed. In compat mode a missing geometry neighbours every unit, so
     the result then has units x missing rows. The pairs are computed once and kept.
     """
-    cell = cell or cell_size(units)
-    known = units.filter("geom IS NOT NULL").select("unit_id", G.shape(F.col("geom")).alias("shape"))
+    boxed = kept(units.select("unit_id", F.when(F.col("geom").isNotNull(), G.shape(F.col("geom"))).alias("shape")))
+    median, n_lost = _survey(boxed)
+    cell = cell or median
+    known = boxed.filter("shape IS NOT NULL")
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     cells = known.withColumn("cx", F.explode(span("shape.box.xmin", "shape.box.xmax"))).withColumn("cy", F.explode(span("shape.box.ymin", "shape.box.ymax")))
     a, b = cells.alias("a"), cells.alias("b")
@@ -45,10 +48,10 @@ def neighbours(units: DataFrame, cell: float | None = None, mode: str = "compat"
     one = F.array(F.struct(F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst")), F.struct(F.col("b.unit_id").alias("src"), F.col("a.unit_id").alias("dst")))
     both = pairs.select(F.inline(one))
     if mode == "compat":
-        both = both.unionByName(units.select(F.col("unit_id").alias("src"), F.col("unit_id").alias("dst")))
-        lost = units.filter("geom IS NULL").select(F.col("unit_id").alias("lost"))
-        if lost.limit(1).count():
-            others = units.select(F.col("unit_id").alias("other"), F.col("geom").isNull().alias("also"))
+        both = both.unionByName(boxed.select(F.col("unit_id").alias("src"), F.col("unit_id").alias("dst")))
+        if n_lost:
+            lost = boxed.filter("shape IS NULL").select(F.col("unit_id").alias("lost"))
+            others = boxed.select(F.col("unit_id").alias("other"), F.col("shape").isNull().alias("also"))
             met = lost.join(others, F.col("lost") != F.col("other"))
             there = met.select(F.col("lost").alias("src"), F.col("other").alias("dst"))
             back = met.filter("NOT also").select(F.col("other").alias("src"), F.col("lost").alias("dst"))
