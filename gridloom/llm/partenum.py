@@ -50,10 +50,10 @@ N2, K2, DEEP = 3, 1, 16
 SAMPLE_SETS = 20_000
 FREQUENT = 0.0002
 FLUSH = 1 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: Features of the sets that one task compares at once, and cells of its matrix of counts.
-BLOCK_FEATURES = 1 << 20
-CELLS = 1 << 22
+BLOCK_FEATURES = 1 << 19
+CELLS = 1 << 20
 _ABC = K.alphabet("space")
 _U = np.uint64
 
@@ -317,7 +317,8 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
         gid = (bucket.astype(np.uint64) << _U(40)) | (sigs & _U((1 << 40) - 1))
         return pa.table({"gid": pa.array(gid.view(np.int64)), "node": pa.array(nodes.view(np.int64))})
 
-    return packed.groupBy("bucket").applyInArrow(run, "gid bigint, node bigint")
+    # as many tasks as buckets, whatever the session's number of partitions is
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "gid bigint, node bigint")
 
 
 def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -539,7 +540,7 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
     stats = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("features")).first()
     features = stats["features"] or 0
     frequent = _frequent(docs, stats["rows"])
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(features * 0.5 * 10 / BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(features * 7 / BUCKET_BYTES))
     shared = store(_shared(_packed(docs, frequent, buckets, salt, num, den), buckets))
     seen = cut(shared.groupBy("node").agg(F.count(F.lit(1)).alias("seen")).join(nodes.select("node", "first", "n"), "node"))
     # an id that several rows have may have other texts too, so the set's id is checked again
