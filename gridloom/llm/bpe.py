@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 MAX_STATES = 250_000
-MAX_PIECES = 200_000
-MAX_PAIRS = 1_000_000
+MAX_PIECES = 120_000
+MAX_PAIRS = 250_000
 SLICE_IDS = 1 << 16
 
 
@@ -40,24 +40,16 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
-class _State:
-    """A determinised state: the live starts of the next token, oldest first.
+class Transducer:
+    """Encodes pieces of bytes by ranked merges.
 
-    A start is (tokens not yet emitted, the token before it, node of the trie reached since). ``final`` is what is
-    left to emit if the piece ends here.
+    A determinised state is a number; its starts are the live starts of the next token, oldest first. A start is (tokens
+    not yet emitted, the token before it, node of the trie reached since); the last one's tokens are left to emit if the
+    piece ends there. One table holds all transitions.
     """
 
-    __slots__ = ("starts", "final", "next")
-
-    def __init__(self, starts: tuple):
-        self.starts, self.final = starts, starts[-1][0]
-        self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
-
-
-class Transducer:
-    """Encodes pieces of bytes by ranked merges."""
-
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], most_states: int | None = None):
+        self.most_states = most_states or MAX_STATES
         if any(bytes((b,)) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary needs all 256 single bytes")
         self.ranks = ranks
@@ -66,7 +58,7 @@ class Transducer:
         self._token, self._inner = [-1], [True]
         for token, rank in ranks.items():
             self._plant(token, rank)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._clear()
 
     def _plant(self, token: bytes, rank: int) -> None:
@@ -82,8 +74,17 @@ class Transducer:
         self._token[node] = rank
 
     def _clear(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.root = _State((((), -1, 0),))
+        self.starts: list[tuple] = []
+        self.states: dict[tuple, int] = {}
+        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state and byte
+        self._state((((), -1, 0),))
+
+    def _state(self, starts: tuple) -> int:
+        made = self.states.get(starts)
+        if made is None:
+            made = self.states[starts] = len(self.starts)
+            self.starts.append(starts)
+        return made
 
     def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, until none can be merged."""
@@ -103,18 +104,19 @@ class Transducer:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b may follow token a (-1: nothing)."""
-        known = self._pairs.get((a, b))
+        pair = (a + 1) << 32 | b
+        known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
             want = [b] if a < 0 else [a, b]
-            known = self._pairs[a, b] = self.merged(b"".join(self.bytes_of[t] for t in want)) == want
+            known = self._pairs[pair] = self.merged(b"".join(self.bytes_of[t] for t in want)) == want
         return known
 
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         child, token, inner = self._child.get, self._token, self._inner
         starts, found = [], None
-        for waiting, before, node in state.starts:
+        for waiting, before, node in self.starts[state]:
             to = child(node << 8 | byte)
             if to is None:
                 continue
@@ -134,28 +136,26 @@ class Transducer:
                 k = i
         if k:
             starts = [(waiting[k:], before, node) for waiting, before, node in starts]
-        key = tuple(starts)
-        made = self.states.get(key)
-        if made is None:
-            made = self.states[key] = _State(key)
-        got = state.next[byte] = (made, first[:k])
+        got = self.next[state << 8 | byte] = (self._state(tuple(starts)), first[:k])
         return got
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.most_states:
             self._clear()
-        state, out = self.root, ()
+        state, out, known = 0, [], self.next.get
         for byte in piece:
-            got = state.next.get(byte)
+            got = known(state << 8 | byte)
             state, emitted = got if got is not None else self._step(state, byte)
             if emitted:
                 out += emitted
-            if len(self.states) > 2 * MAX_STATES:  # a very long piece
-                self.states = {}
-        return out + state.final
+            if len(self.starts) > 2 * self.most_states:  # a very long piece: all states go, the present one begins anew
+                starts = self.starts[state]
+                self._clear()
+                state, known = self._state(starts), self.next.get
+        return (*out, *self.starts[state][-1][0])
 
 
 #: Unicode's White_Space property (fixed values).
@@ -169,8 +169,9 @@ class Encoder:
     text is looked up stretch by stretch; a stretch not seen before is split by the pattern itself.
     """
 
-    def __init__(self, raw: bytes, pattern: str):
-        self.transducer = Transducer(read_ranks(raw))
+    def __init__(self, raw: bytes, pattern: str, cache: int | None = None):
+        self.most = cache or MAX_PIECES
+        self.transducer = Transducer(read_ranks(raw), 2 * cache if cache else None)
         self.split = regex.compile(pattern).findall
         self.by_blank = pattern == default_pattern()
         self._pairs = [w + " " for w in WHITE_SPACE]
@@ -179,18 +180,18 @@ class Encoder:
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _pieces(self, stretch: str) -> tuple[int, ...]:
-        out: tuple[int, ...] = ()
+        out: list[int] = []
         known = self.pieces
         for piece in self.split(stretch):
             ids = known.get(piece)
             if ids is None:
-                if len(known) >= MAX_PIECES:
+                if len(known) >= self.most:
                     known.clear()
                 ids = self.transducer.encode(piece.encode())
-                if len(piece) < 64:
+                if len(piece) < 64 and len(piece) < len(stretch):  # a stretch that is one piece is kept as such
                     known[piece] = ids
             out += ids
-        return out
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -211,7 +212,7 @@ class Encoder:
         if ids is None:
             ids = self._pieces(" " + word)
         if len(word) < 64:
-            if len(self.new) >= MAX_PIECES:
+            if len(self.new) >= self.most:
                 self.old, self.new = self.new, {}
             self.new[word] = ids
         return ids
@@ -266,11 +267,11 @@ class StreamDecoder:
 _encoders: dict[bytes, Encoder] = {}
 
 
-def encoder(raw: bytes, pattern: str) -> Encoder:
-    key = hashlib.sha256(raw + pattern.encode()).digest()
+def encoder(raw: bytes, pattern: str, cache: int | None = None) -> Encoder:
+    key = hashlib.sha256(raw + f"{pattern} {cache}".encode()).digest()
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(raw, pattern)
+        _encoders[key] = Encoder(raw, pattern, cache)
     return _encoders[key]
 
 
@@ -328,13 +329,14 @@ def _decoded(table: dict[int, bytes], ids: list[int]) -> Iterator[str]:
     yield d.close()
 
 
-def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", key: str = "doc_id", with_ids: bool = False, cache: int | None = None) -> DataFrame:
     """Encode each text and decode its ids in one pass; ids and decoded bytes come back as digests (``with_ids``: the ids
-    too)."""
+    too). ``cache``: how many stretches (and twice as many states) a worker keeps, for jobs whose workers need the memory for
+    other steps as well; it changes the speed, not the ids."""
     ranks, pat = _ranks_of(documents, path), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks.value, pat)
+        enc = encoder(ranks.value, pat, cache)
         table = enc.transducer.bytes_of
         names = {i: str(i) for i in table}
         for batch in batches:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -64,3 +65,19 @@ def test_round_trip_query(spark, library):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df)).collect()}
     assert back == {**{i: t or "" for i, t in enumerate(texts)}, None: "x"}
     assert bpe.round_trip(df.limit(0)).count() == 0
+
+
+def test_long_texts_without_blanks_take_linear_time(raw, library):
+    rnd = random.Random(9)
+    for kind in ("abcdefghijklmnopqrstuvwxyz", "ab-cd-ef", "日本語の文章"):
+        enc, spent = bpe.Encoder(raw, P.PATTERN), []
+        enc.encode("".join(rnd.choice(kind) for _ in range(50_000)))  # states are made
+        for n in (50_000, 400_000):
+            t = "".join(rnd.choice(kind) for _ in range(n))
+            began = time.process_time()
+            ids = enc.encode(t)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 16 * spent[0] + 1, (kind, spent)
+        assert bytes(b"".join(enc.transducer.bytes_of[i] for i in ids)).decode() == t
+        t = t[:20_000]
+        assert enc.encode(t) == library.encode_ordinary(t)
