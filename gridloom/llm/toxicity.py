@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import crc_mod, drop_stored, store
+from .components import salted
 from .sample import SAMPLE_ROWS, labelled_sample
 
 PRIOR, Z, PURE, SUPPORT, DRIFT = 5.0, 3.0, 0.8, 4, 0.05
@@ -90,7 +91,7 @@ def _counts(sample: DataFrame) -> DataFrame:
                     )
 
     least = sample.select("doc_id", "text").mapInArrow(copies, f"doc_id {dict(sample.dtypes)['doc_id']}, least bigint")
-    weights = least.join(least.groupBy("least").agg((1 / F.count(F.lit(1))).alias("weight")), "least").select("doc_id", "weight")
+    weights = salted(least, least.groupBy("least").agg((1 / F.count(F.lit(1))).alias("weight")), "least", "doc_id").select("doc_id", "weight")
     weighted = sample.join(weights, "doc_id").select("doc_id", "label", "text", "weight")  # the sample has an id once
     rows = weighted.mapInArrow(count, "level int, feature bigint, parent bigint, toxic double, other double")
     return rows.groupBy("level", "feature").agg(F.min("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
