@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links that one task of a round holds; as a round's work is small, more tasks would only fill the driver with their figures.
+TASK_LINKS = 1 << 18
+
 
 def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "left", ways: int = 16) -> DataFrame:
     """Join on ``key`` where many rows of ``left`` may share one and ``right`` has one row for each: the left rows are dealt by
-    ``by`` to copies of it."""
+    ``by`` to copies of it. They aren't broadcast: Spark would take them for as small as what they are copies of."""
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(ways)))
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(ways)])))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(ways)]))).hint("merge")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
@@ -21,19 +26,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label among itself and its neighbours, then the label of its label; the
     number of rounds grows with the logarithm of the longest path. Aggregations are summed before shuffles, the joins'
-    hot hubs are split by the adaptive skew join and the lookup of a large component's label is salted.
+    hot hubs are split by the adaptive skew join and the lookup of a large component's label is salted. A round has as many
+    tasks as its links need, however many shuffle partitions the session has.
     """
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    sc = links.sparkSession.sparkContext
+    n = max(2 * sc.defaultParallelism, math.ceil(links.count() / TASK_LINKS))
+    links = links.coalesce(n)
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().coalesce(n))
+    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")).coalesce(n))
     turn = 0
     while True:
         turn += 1
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
-        taken = labels.join(near, "node").select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_old"))
+        near = edges.join(labels.withColumnRenamed("node", "b"), "b").coalesce(n).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
+        taken = labels.join(near, "node").coalesce(n).select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_old"))
         if turn > 2:  # most groups are near stars and done by now
             up = taken.filter("node <> label").select(F.col("node").alias("label"), F.col("label").alias("_up"))
             taken = salted(taken, up, "label", "node").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "_old")
-        jumped = cut(taken)
+        jumped = cut(taken.coalesce(n))
         moved = jumped.filter(F.col("label") != F.col("_old")).limit(1).count()
         labels = jumped.select("node", "label")
         if not moved:

@@ -54,6 +54,8 @@ BUCKET_BYTES = 6 << 20
 #: Features of the sets that one task compares at once, and cells of its matrix of counts.
 BLOCK_FEATURES = 1 << 19
 CELLS = 1 << 20
+#: Features whose sets one task of a plain join has.
+TASK_FEATURES = 1 << 20
 _ABC = K.alphabet("space")
 _U = np.uint64
 
@@ -535,34 +537,37 @@ def link_components(documents: DataFrame, num: int = 80, den: int = 100, key: st
 
 
 def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num: int, den: int) -> DataFrame:
-    """``node, label`` of the sets that link with others."""
+    """``node, label`` of the sets that link with others. Joins without Python have as many tasks as the features need, since
+    the driver keeps figures of each task."""
     spark = docs.sparkSession
     stats = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("features")).first()
     features = stats["features"] or 0
     frequent = _frequent(docs, stats["rows"])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(features * 7 / BUCKET_BYTES))
     shared = store(_shared(_packed(docs, frequent, buckets, salt, num, den), buckets))
-    seen = cut(shared.groupBy("node").agg(F.count(F.lit(1)).alias("seen")).join(nodes.select("node", "first", "n"), "node"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(features / TASK_FEATURES))
+    seen = cut(shared.groupBy("node").agg(F.count(F.lit(1)).alias("seen")).join(nodes.select("node", "first", "n"), "node").coalesce(tasks))
     # an id that several rows have may have other texts too, so the set's id is checked again
     texts = store(_texts(docs.join(seen.select(F.col("first").alias("doc_id"), "node", "n"), "doc_id"), salt).dropDuplicates(["node"]))
 
-    member = shared.join(seen.select("node", "n", "seen"), "node")
+    member = shared.join(seen.select("node", "n", "seen"), "node").coalesce(tasks)
     centre = member.groupBy("gid").agg(F.max(F.struct("seen", "node", "n")).alias("c"))
     near = (F.col("c.node") != F.col("node")) & (F.least("n", "c.n") * den >= F.greatest("n", "c.n") * num)
-    pairs = cut(member.join(centre, "gid").filter(near).select(F.col("node").alias("a"), F.col("c.node").alias("c"), "n").distinct())
+    pairs = cut(member.join(centre, "gid").filter(near).select(F.col("node").alias("a"), F.col("c.node").alias("c"), "n").coalesce(tasks).distinct().coalesce(tasks))
     labels = components(cut(_compared(_stars(pairs), texts, num, den)))
 
-    known = cut(seen.select("node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    open_ = _unconnected(shared, known).select("node", "label", "n").distinct()
+    known = cut(seen.select("node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).coalesce(tasks))
+    open_ = cut(_unconnected(shared, known, tasks).select("node", "label", "n").distinct().coalesce(tasks))
     rest = open_.join(texts.select("node", "text"), "node")
     support = _support(rest, open_.agg(F.sum("n")).first()[0] or 0, buckets)
-    known = cut(open_.join(support, "node").filter(F.col("support") * den >= F.col("n") * num))
-    meet = _unconnected(shared, known)
+    known = cut(open_.join(support, "node").filter(F.col("support") * den >= F.col("n") * num).coalesce(tasks))
+    meet = _unconnected(shared, known, tasks)
     clusters = components(meet.select(F.col("label").alias("a"), F.col("least").alias("b")))
-    members = salted(meet.select("node", "label", "n", "support").distinct(), clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label", "node", "inner")
+    members = salted(meet.select("node", "label", "n", "support").distinct().coalesce(tasks), clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label", "node", "inner")
+    members = cut(members.coalesce(tasks))
     least = members.groupBy("cluster").agg(F.min("n").alias("least"))
     fit = F.col("support") * (den + num) >= (F.col("n") + F.col("least")) * num
-    more = cut(_compared(_blocks(cut(salted(members, least, "cluster", "node", "inner").filter(fit))), texts, num, den))
+    more = cut(_compared(_blocks(cut(salted(members, least, "cluster", "node", "inner").filter(fit).coalesce(tasks))), texts, num, den))
     if more.limit(1).count():
         labels = _joined_labels(labels, more)
     drop_stored(shared)
@@ -584,15 +589,15 @@ def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links: only the labels that the links connect are looked at again."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
     named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    raised = components(named).toDF("_old", "_new")
+    raised = components(cut(named)).toDF("_old", "_new")
     known = labels.unionByName(raised.join(labels, F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_old").alias("label")))
     changed = raised.filter("_old <> _new").withColumnRenamed("_old", "label")
     return cut(salted(known, changed, "label", "node").select("node", F.coalesce("_new", "label").alias("label")))
 
 
-def _unconnected(shared: DataFrame, known: DataFrame) -> DataFrame:
+def _unconnected(shared: DataFrame, known: DataFrame, tasks: int) -> DataFrame:
     """The members of groups in which sets of ``known`` (node, label, ...) are in several components, and the group's
     ``least`` label."""
-    members = shared.join(known, "node")
+    members = shared.join(known, "node").coalesce(tasks)
     groups = members.groupBy("gid").agg(F.min("label").alias("least"), F.max("label").alias("_hi")).filter("least <> _hi").select("gid", "least")
-    return cut(members.join(groups, "gid"))
+    return cut(members.join(groups, "gid").coalesce(tasks))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from gridloom.llm import partenum as E
+from gridloom.llm.components import components, salted
 
 
 def shingle_set(t):
@@ -135,3 +136,25 @@ def test_linked_sets_share_a_signature():
 def test_bands():
     table = E.bands(80, 100, 1000)
     assert table[0][0] == 4 and not table[0][4] and table[-1][4] and all(a[1] + 1 == b[0] for a, b in zip(table, table[1:]))
+
+
+def test_rounds_of_components_have_as_many_tasks_as_links_need(spark):
+    held = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9], "a bigint, b bigint")
+        labels = components(links)
+        assert labels.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert {r.node: r.label for r in labels.collect()} == {i: i // 10 * 10 for i in range(40)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_copies_of_a_salted_join_are_not_broadcast(spark):
+    left, right = spark.range(100).selectExpr("id", "id % 3 AS k"), spark.range(3).selectExpr("id AS k", "id * 10 AS v")
+    got = salted(left, right, "k", "id")
+    assert {(r.id, r.v) for r in got.collect()} == {(i, i % 3 * 10) for i in range(100)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
