@@ -265,6 +265,7 @@ class StreamDecoder:
 
 
 _encoders: dict[bytes, Encoder] = {}
+K.KEPT.append(_encoders)
 
 
 def encoder(raw: bytes, pattern: str, cache: int | None = None) -> Encoder:

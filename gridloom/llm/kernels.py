@@ -7,6 +7,8 @@ bounded by the chunk or by the single longest text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,6 +47,22 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: What operators keep in a worker for its next tasks: each adds a dict that forget() may empty.
+KEPT: list[dict] = []
+
+
+def forget() -> None:
+    """Operators that need much memory call this in their tasks: workers that did another one's work before give back
+    what they keep for it."""
+    if any(KEPT):
+        for kept in KEPT:
+            kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 class Alphabet(NamedTuple):
     """Which bytes belong to words, and what each byte counts as (lower case)."""
 

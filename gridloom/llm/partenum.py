@@ -80,6 +80,7 @@ def bands(num: int, den: int, largest: int) -> list[tuple[int, int, int, int, bo
 
 
 def sets_of(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
+    K.forget()
     w = K.words(texts, _ABC)
     h = K.spans_hash(texts, _ABC.low, w.starts, w.ends)
     return K.distinct_by_text(*K.shingles(h, w, SHINGLE), len(texts))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from gridloom.llm import partenum as E
 from gridloom.llm.components import components, salted
@@ -158,3 +159,12 @@ def test_copies_of_a_salted_join_are_not_broadcast(spark):
     got = salted(left, right, "k", "id")
     assert {(r.id, r.v) for r in got.collect()} == {(i, i % 3 * 10) for i in range(100)}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_gives_back_what_the_worker_kept_for_the_tokenizer():
+    from gridloom.llm import bpe
+    from gridloom.llm import kernels as K
+
+    bpe._encoders[b"of another stage"] = object()
+    assert len(E.sets_of(K.texts_of(pa.array(["one two three four five six"])))[0]) == 2
+    assert not bpe._encoders
