@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,16 @@ def drop_stored(df: DataFrame) -> None:
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Only then does Spark let go of the broadcasts, shuffles and checkpoints of frames that nobody
+    holds, and a JVM that isn't asked lets its heap grow to the limit first, however little of it is in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: str, modulus: int) -> F.Column:
     """crc32 of the decimal text of a key, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-__all__ = ["crc_mod", "cut", "drop_stored", "store", "table"]
+__all__ = ["crc_mod", "cut", "drop_stored", "release", "store", "table"]

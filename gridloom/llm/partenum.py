@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, drop_stored, store
+from .common import cut, drop_stored, release, store
 from .components import components, salted
 
 SHINGLE = 5
@@ -477,24 +477,24 @@ def _compared(rows: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
     return wide.groupBy("pack").applyInArrow(run, "a bigint, b bigint")
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
+def _stars(pairs: DataFrame, tasks: int) -> DataFrame:
     """Rows for _compared: each set ``a`` (of n features) with its centre ``c``."""
-    load = cut(pairs.groupBy("c").agg(F.sum("n").alias("load")))
+    load = cut(pairs.groupBy("c").agg(F.sum("n").alias("load")).coalesce(tasks))
     packs = max(1, math.ceil((load.agg(F.sum("load")).first()[0] or 0) / BLOCK_FEATURES))
     large = load.filter(F.col("load") > BLOCK_FEATURES).select("c", F.ceil(F.col("load") / BLOCK_FEATURES).alias("ways"))
     dealt = pairs.join(large, "c", "left").withColumn("way", F.pmod(F.xxhash64("a"), F.coalesce("ways", F.lit(1))))
     pack = F.when(F.col("ways").isNull(), F.pmod(F.xxhash64("c"), F.lit(packs))).otherwise(F.xxhash64("c", "way"))
-    dealt = dealt.select(pack.alias("pack"), F.col("c").alias("key"), "a")
+    dealt = dealt.select(pack.alias("pack"), F.col("c").alias("key"), "a").coalesce(tasks)
     member = dealt.select("pack", "key", F.lit(1).alias("side"), F.col("a").alias("node"), F.col("a").alias("label"))
-    centre = dealt.select("pack", "key").distinct().select("pack", "key", F.lit(0).alias("side"), F.col("key").alias("node"), F.col("key").alias("label"))
+    centre = dealt.select("pack", "key").distinct().coalesce(tasks).select("pack", "key", F.lit(0).alias("side"), F.col("key").alias("node"), F.col("key").alias("label"))
     return member.unionByName(centre)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, tasks: int) -> DataFrame:
     """Rows for _compared: all sets of a cluster of components (cluster, label, node, n), in blocks of bounded size. The sets
     of the largest component needn't meet each other, so they meet the blocks of the others only."""
     of_label = members.groupBy("cluster", "label").agg(F.sum("n").alias("load"))
-    of_cluster = cut(of_label.groupBy("cluster").agg(F.sum("load").alias("load"), F.max(F.struct("load", "label")).alias("main")).filter("load > main.load"))
+    of_cluster = cut(of_label.groupBy("cluster").agg(F.sum("load").alias("load"), F.max(F.struct("load", "label")).alias("main")).filter("load > main.load").coalesce(tasks))
     packs = max(1, math.ceil((of_cluster.agg(F.sum(F.least("load", F.lit(BLOCK_FEATURES)))).first()[0] or 0) / BLOCK_FEATURES))
     ways = lambda load: F.ceil(load / BLOCK_FEATURES).cast("int")
     small = F.col("load") <= BLOCK_FEATURES
@@ -549,16 +549,19 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
     tasks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(features / TASK_FEATURES))
     seen = cut(shared.groupBy("node").agg(F.count(F.lit(1)).alias("seen")).join(nodes.select("node", "first", "n"), "node").coalesce(tasks))
     # an id that several rows have may have other texts too, so the set's id is checked again
+    release(spark)
     texts = store(_texts(docs.join(seen.select(F.col("first").alias("doc_id"), "node", "n"), "doc_id"), salt).dropDuplicates(["node"]))
 
     member = shared.join(seen.select("node", "n", "seen"), "node").coalesce(tasks)
     centre = member.groupBy("gid").agg(F.max(F.struct("seen", "node", "n")).alias("c"))
     near = (F.col("c.node") != F.col("node")) & (F.least("n", "c.n") * den >= F.greatest("n", "c.n") * num)
     pairs = cut(member.join(centre, "gid").filter(near).select(F.col("node").alias("a"), F.col("c.node").alias("c"), "n").coalesce(tasks).distinct().coalesce(tasks))
-    labels = components(cut(_compared(_stars(pairs), texts, num, den)))
+    labels = components(cut(_compared(_stars(pairs, tasks), texts, num, den)))
+    release(spark)
 
     known = cut(seen.select("node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).coalesce(tasks))
     open_ = cut(_unconnected(shared, known, tasks).select("node", "label", "n").distinct().coalesce(tasks))
+    release(spark)
     rest = open_.join(texts.select("node", "text"), "node")
     support = _support(rest, open_.agg(F.sum("n")).first()[0] or 0, buckets)
     known = cut(open_.join(support, "node").filter(F.col("support") * den >= F.col("n") * num).coalesce(tasks))
@@ -566,13 +569,15 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, salt: int, num:
     clusters = components(meet.select(F.col("label").alias("a"), F.col("least").alias("b")))
     members = salted(meet.select("node", "label", "n", "support").distinct().coalesce(tasks), clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label", "node", "inner")
     members = cut(members.coalesce(tasks))
+    release(spark)
     least = members.groupBy("cluster").agg(F.min("n").alias("least"))
     fit = F.col("support") * (den + num) >= (F.col("n") + F.col("least")) * num
-    more = cut(_compared(_blocks(cut(salted(members, least, "cluster", "node", "inner").filter(fit).coalesce(tasks))), texts, num, den))
+    more = cut(_compared(_blocks(cut(salted(members, least, "cluster", "node", "inner").filter(fit).coalesce(tasks)), tasks), texts, num, den))
     if more.limit(1).count():
         labels = _joined_labels(labels, more)
     drop_stored(shared)
     drop_stored(texts)
+    release(spark)
     return labels
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from gridloom.llm import partenum as E
-from gridloom.llm.components import components, salted
+from gridloom.llm.components import components, salted, smallest
 
 
 def shingle_set(t):
@@ -154,6 +154,38 @@ def test_rounds_of_components_have_as_many_tasks_as_links_need(spark):
             spark.conf.set(k, v)
 
 
+def test_few_links_are_joined_by_one_task(spark):
+    sc = spark.sparkContext
+    rnd = random.Random(8)
+    pairs = [(i, i + 1) for i in range(60)] + [(-5, i) for i in range(100, 140)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)] + [(7, 7), (999, 999)]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(8).localCheckpoint()
+    held = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    slow = components(links, at_once=0)
+    assert slow.rdd.getNumPartitions() <= 2 * sc.defaultParallelism
+    rounds = {r.node: r.label for r in slow.collect()}
+    sc.setJobGroup("few links", "")
+    try:
+        labels = components(links)
+        told = sc.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup("few links") for s in told.getJobInfo(j).stageIds}
+        assert sum(told.getStageInfo(s).numTasks for s in stages) <= 20
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.label for r in labels.collect()} == rounds and rounds[60] == 0 and rounds[139] == -5 and 999 not in rounds
+
+
+def test_smallest():
+    chain = np.random.default_rng(2).permutation(5000)
+    nodes, label = smallest(chain[:-1], chain[1:])
+    assert nodes.tolist() == list(range(5000)) and not label.any()
+    assert [len(x) for x in smallest(np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0]
+
+
 def test_copies_of_a_salted_join_are_not_broadcast(spark):
     left, right = spark.range(100).selectExpr("id", "id % 3 AS k"), spark.range(3).selectExpr("id AS k", "id * 10 AS v")
     got = salted(left, right, "k", "id")
