@@ -188,10 +188,24 @@ def shingles(word_hash: np.ndarray, w: Words, k: int = 5) -> tuple[np.ndarray, n
     return np.concatenate(out), np.concatenate(where)
 
 
+#: Texts with more hashes are sorted one by one, which is much faster than by two keys; of shorter ones there may be too many.
+LONG = 64
+
+
 def distinct_by_text(hashes: np.ndarray, where: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct hashes, sorted by text and hash, with the offsets of the texts."""
-    order = np.lexsort((hashes, where))
-    h, t = hashes[order], where[order]
+    if (where[1:] < where[:-1]).any():
+        order = np.argsort(where, kind="stable")
+        h, t = hashes[order], where[order]
+    else:
+        h, t = hashes.copy(), where
+    size = np.bincount(t, minlength=n)
+    ends = np.cumsum(size)
+    for i in np.flatnonzero(size > LONG):
+        h[ends[i] - size[i] : ends[i]].sort()
+    short = np.flatnonzero((size <= LONG)[t])
+    if len(short):
+        h[short] = h[short[np.lexsort((h[short], t[short]))]]
     if len(h):
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])

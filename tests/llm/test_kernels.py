@@ -75,3 +75,12 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in up}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_distinct_hashes_of_long_short_and_unsorted_texts():
+    rnd = np.random.default_rng(3)
+    where = np.concatenate([np.repeat([0, 2, 3], [K.LONG + 40, 5, K.LONG]), [1, 5, 1, 0], np.full(900, 6)])
+    hashes = rnd.integers(0, 60, len(where)).astype(np.uint64) << np.uint64(58) | rnd.integers(0, 60, len(where)).astype(np.uint64)
+    for order in (np.arange(len(where)), rnd.permutation(len(where))):
+        h, o = K.distinct_by_text(hashes[order], where[order], 8)
+        assert [h[a:b].tolist() for a, b in zip(o, o[1:])] == [sorted(set(hashes[where == i].tolist())) for i in range(8)]

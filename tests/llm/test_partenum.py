@@ -200,3 +200,21 @@ def test_a_task_gives_back_what_the_worker_kept_for_the_tokenizer():
     bpe._encoders[b"of another stage"] = object()
     assert len(E.sets_of(K.texts_of(pa.array(["one two three four five six"])))[0]) == 2
     assert not bpe._encoders
+
+
+def test_a_set_is_listed_once_however_many_flushes_hold_it(spark):
+    sigs, nodes = np.array([5, 5, 9, 9, 12], np.uint64), np.array([1, 2, 1, 3, 1], np.uint64)
+    rows = [E._pack(0, sigs, nodes) for _ in range(12)] + [{"bucket": -1, "sigs": np.repeat(sigs, 3).tobytes(), "nodes": np.repeat(nodes, 3).tobytes(), "ids": b""}] * 2
+    packed = spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("ids", pa.binary())])).to_pandas(), E._PACKED)
+    got = sorted((r.gid, r.node) for r in E._shared(packed, 1).collect())
+    once = [(5, 1), (5, 2), (9, 1), (9, 3)]
+    assert got == sorted(once * 3)  # once in the range, once in each flush
+
+
+def test_groups_of_equal_sets_are_kept_once(spark):
+    kinds = [(1, 2), (1, 3), (1, 2, 3), (1, 4, 3), (-7, 2, 3), (2, 9, 8, 7)]
+    listed = [(100 * k + i, n) for k, kind in enumerate(kinds) for i in range(k + 1) for n in kind]
+    got = {}
+    for r in E._different(spark.createDataFrame(listed, "gid bigint, node bigint")).collect():
+        got.setdefault((r.gid, r.times), set()).add(r.node)
+    assert sorted((t, sorted(v)) for (_, t), v in got.items()) == [(k + 1, sorted(kind)) for k, kind in enumerate(kinds)]
