@@ -32,6 +32,13 @@ def nan_to_zero(x: Column) -> Column:
     return F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+def round_scaled(x: Column, places: int) -> Column:
+    """Rounded as SQL engines do that scale a double, round it and scale it back; F.round goes by its decimal digits, which from
+    about 2**53 / 10**places on gives other last bits."""
+    near = F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+    return F.when(F.isnan(near) | (F.abs(near) == INF), x).otherwise(near)
+
+
 def hectares(square_metres: Column) -> Column:
     return F.lit(0.0001) * square_metres
 
